@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, mixing
+from weftline.llm import exact_dedup, licenses, mixing, quality, secrets, sentencepiece_codec
 from weftline.llm.common import documents
 
 
@@ -19,12 +19,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(documents(spark, sf_dir))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": op3_quality_rules,
         "op5_mixing": op5_mixing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_license_scans": op9_license_scans,
+        "op10_secret_scans": op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_secret_scans": secrets.oracle_sql()}
