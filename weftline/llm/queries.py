@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, licenses, mixing, quality, secrets, sentencepiece_codec
-from weftline.llm.common import documents
+from weftline.llm import exact_dedup, licenses, mixing, ngram_join, quality, secrets, sentencepiece_codec, toxicity
+from weftline.llm.common import documents, labels
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
@@ -37,7 +44,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_quality_rules": op3_quality_rules,
+        "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_sentencepiece": op8_sentencepiece,
