@@ -63,9 +63,9 @@ def words(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several sequences of integers. Each state knows the sequences it occurs in and one end."""
+    """Of several sequences of integers. With ``notes``, each state knows its sequences and one end."""
 
-    def __init__(self, sequences: Iterable[list[int]]):
+    def __init__(self, sequences: Iterable[list[int]], notes: bool = True):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.where, self.end = [-1], [0], [0], [0]
         ends = []
@@ -73,7 +73,8 @@ class SuffixAutomaton:
             last = 0
             for i, c in enumerate(seq):
                 last = self._extend(last, c)
-                ends.append((last, k, i))
+                if notes:
+                    ends.append((last, k, i))
         # A longer state's sequences are those of its suffixes too; the first end is kept.
         self.at: list[dict[int, int]] = [{} for _ in self.link]
         for state, k, i in ends:

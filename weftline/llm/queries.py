@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, licenses, mixing, ngram_join, quality, secrets, sentencepiece_codec, toxicity
+from weftline.llm import exact_dedup, licenses, mixing, ngram_join, quality, secrets, sentencepiece_codec, substring, toxicity
 from weftline.llm.common import documents, labels
 
 
@@ -30,6 +30,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_repeats(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_license_scans": op9_license_scans,
         "op10_secret_scans": op10_secret_scans,
