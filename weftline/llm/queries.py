@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, licenses, mixing, ngram_join, quality, secrets, sentencepiece_codec, substring, toxicity
+from weftline.llm import exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, substring, toxicity
 from weftline.llm.common import documents, labels
 
 
@@ -22,6 +22,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.cut_lines(documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_quality_rules": op3_quality_rules,
         "op4_toxicity": op4_toxicity,
@@ -61,4 +66,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_secret_scans": secrets.oracle_sql()}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op5_mixing": mixing.ORACLE_SQL,
+        "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op10_secret_scans": secrets.oracle_sql(),
+    }
