@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,36 +30,43 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import checkpointed
 from weftline.llm.licenses import SuffixAutomaton
-from weftline.llm.ngram_join import SKETCH_BITS, _hashes, _mixed, _sketch
+from weftline.llm.ngram_join import SKETCH_BITS, _sketch
+from weftline.llm.textcodes import ngram_hashes, word_hashes
 
 SPAN = 35
 K = 8
 #: An anchor that occurs more often has a shard for each of its windows.
 OFTEN = 2000
+#: Bits of the filter of repeated anchors, and how many anchors it may hold.
+FILTER_BITS, MOST_ANCHORS = 1 << 24, 1 << 21
 
 
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def anchors(words: list[bytes], span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of windows with one anchor: the anchor's hash, and the first window's start."""
+def anchors(text: str | None, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each run of windows with one anchor: the anchor's hash and the first window's start; and
+    the number of windows."""
+    words = word_hashes(text)
     n = len(words) - span + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    grams = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        grams = _mixed(grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0
+    grams = ngram_hashes(words, k)
     at = sliding_window_view(grams, span - k + 1).argmin(axis=1) + np.arange(n)
     first = np.flatnonzero(np.r_[True, np.diff(at) != 0])
-    return grams[at[first]].view(np.int64), first
+    return grams[at[first]].view(np.int64), first, n
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _short(sha: str) -> int:
+    """What tells the texts of one id apart."""
+    return int.from_bytes(bytes.fromhex(sha[:16]), "big", signed=True)
+
+
 def _anchored(docs: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -67,48 +75,98 @@ def _anchored(docs: DataFrame, span: int) -> DataFrame:
                 words = split_words(text)
                 sizes.append(len(words))
                 shas.append(_sha(words))
-                grams.append(anchors(words, span)[0])
+                grams.append(anchors(text, span)[0])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": sizes, "sha": shas, "g": grams})
 
     return docs.mapInPandas(run, "doc_id string, n_words bigint, sha string, g array<bigint>")
 
 
-def _contexts(rows: DataFrame, span: int) -> DataFrame:
-    """From (doc_id, text, marks) to a row for each context: doc_id, sha, at, shard, digest, words.
+_CONTEXT = "doc_id string, sha bigint, at int, shard bigint, digest binary, n bigint, words binary"
+#: Contexts that a task counts before it hands them on.
+COUNTED = 100_000
 
-    ``words`` is null where the task has already given a context of this digest.
-    """
+
+def _contexts(docs: DataFrame, repeated: Repeated, span: int) -> DataFrame:
+    """Rows of two kinds: a place of a context (doc_id, sha, at, shard, digest), and, without a doc_id, a
+    context with its words and how often the task has met it so far (shard, digest, n, words)."""
+    columns = [c.split()[0] for c in _CONTEXT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
+        counts: dict[bytes, list] = {}
+        out: list[tuple] = []
+
+        def handed_on() -> Iterator[pd.DataFrame]:
+            rows = [(None, None, None, shard, digest, n, own) for digest, (shard, n, own) in counts.items()]
+            counts.clear()
+            for k in range(0, len(rows), 10_000):
+                yield pd.DataFrame(rows[k : k + 10_000], columns=columns)
+
         for batch in batches:
-            out = []
-            for doc, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"], strict=True):
-                words = split_words(text)
-                sha = _sha(words)
-                grams, first = anchors(words, span)
-                ends = np.r_[first[1:], len(words) - span + 1]
-                for mark in marks:
-                    j, often = mark["j"], mark["often"]
-                    if j >= len(grams):
-                        continue
-                    a, b = int(first[j]), int(ends[j])
-                    for start, end in ((i, i + 1) for i in range(a, b)) if often else ((a, b),):
-                        own = b" ".join(words[start : end - 1 + span])
+            for row in batch.itertuples(index=False):
+                grams, first, n = anchors(row.text, span)
+                if repeated.bits is not None:
+                    which = np.flatnonzero(repeated.holds(grams)).tolist()
+                    often = repeated.frequent
+                else:
+                    which = sorted({m["j"] for m in row.marks if m["j"] < len(grams)})
+                    often = {int(grams[m["j"]]) for m in row.marks if m["often"] and m["j"] < len(grams)}
+                if not which:
+                    continue
+                words = split_words(row.text)
+                sha = _short(_sha(words))
+                starts, keys = [*first.tolist(), n], grams.tolist()
+                for j in which:
+                    a, b, split = starts[j], starts[j + 1], keys[j] in often
+                    for start in range(a, b) if split else (a,):
+                        own = b" ".join(words[start : (start + 1 if split else b) - 1 + span])
                         digest = hashlib.blake2b(own, digest_size=16).digest()
-                        shard = int.from_bytes(digest[:8], "little", signed=True) if often else int(grams[j])
-                        new = digest not in seen
-                        if new:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            seen.add(digest)
-                        out.append((doc, sha, start, shard, digest, own if new else None))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["doc_id", "sha", "at", "shard", "digest", "words"])
+                        known = counts.get(digest)
+                        if known is None:
+                            known = counts[digest] = [int.from_bytes(digest[:8], "little", signed=True) if split else keys[j], 0, own]
+                        known[1] += 1
+                        out.append((row.doc_id, sha, start, known[0], digest, None, None))
+                if len(out) > 10_000:
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
-            yield pd.DataFrame(out, columns=["doc_id", "sha", "at", "shard", "digest", "words"])
+                if len(counts) > COUNTED:
+                    yield from handed_on()
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield from handed_on()
+
+    return docs.mapInPandas(run, _CONTEXT)
 
-    return rows.mapInPandas(run, "doc_id string, sha string, at int, shard bigint, digest binary, words binary")
+
+@dataclass
+class Repeated:
+    """The anchors that occur more than once, as a Bloom filter of two bits, and those that occur often.
+
+    Built only while they are at most MOST_ANCHORS; without bits, anchors are found by a join.
+    """
+
+    bits: np.ndarray | None
+    frequent: frozenset[int]
+
+    @staticmethod
+    def places(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return grams & (FILTER_BITS - 1), (grams >> 32) & (FILTER_BITS - 1)
+
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        a, b = self.places(grams)
+        return ((self.bits[a >> 6] >> (a & 63)) & (self.bits[b >> 6] >> (b & 63)) & 1).astype(bool)
+
+    @classmethod
+    def of(cls, repeated: DataFrame, n: int, most: int) -> Repeated:
+        if n > most:
+            return cls(None, frozenset())
+        a, b = F.col("g").bitwiseAND(FILTER_BITS - 1), F.shiftright("g", 32).bitwiseAND(FILTER_BITS - 1)
+        at = repeated.select(F.explode(F.array(a, b)).alias("at"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+        rows = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(one).alias("x")).toPandas()
+        bits = np.zeros(FILTER_BITS // 64, np.int64)
+        bits[rows["w"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64)
+        return cls(bits, frozenset(repeated.filter("often").select("g").toPandas()["g"].tolist()))
 
 
 def repeated_windows(contexts: list[bytes], counts: list[int], span: int = SPAN) -> list[int]:
@@ -140,12 +198,14 @@ def repeated_windows(contexts: list[bytes], counts: list[int], span: int = SPAN)
 
 
 def _judged(span: int):
+    """Rows of a partition sorted by shard; a context comes once from each task that met it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, held = None, []
+        shard, held = None, {}
 
-        def judge() -> pd.DataFrame:
-            bits = repeated_windows([h[1] for h in held], [h[2] for h in held], span)
-            return [(shard, h[0], b) for h, b in zip(held, bits, strict=True) if b]
+        def judge() -> list[tuple]:
+            bits = repeated_windows([w for w, _ in held.values()], [n for _, n in held.values()], span)
+            return [(shard, digest, b) for digest, b in zip(held, bits, strict=True) if b]
 
         for batch in batches:
             out = []
@@ -153,8 +213,8 @@ def _judged(span: int):
                 if s != shard:
                     if held:
                         out += judge()
-                    shard, held = s, []
-                held.append((digest, words, n))
+                    shard, held = s, {}
+                held[digest] = words, n + (held[digest][1] if digest in held else 0)
             yield pd.DataFrame(out, columns=["shard", "digest", "bits"])
         if held:
             yield pd.DataFrame(judge(), columns=["shard", "digest", "bits"])
@@ -162,13 +222,13 @@ def _judged(span: int):
     return run
 
 
-def _cut(span: int):
+def _cut(span: int, texts: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, sha, text, hits in zip(batch["doc_id"], batch["sha"], batch["text"], batch["hits"], strict=True):
                 words = split_words(text)
-                if _sha(words) != sha:  # another text of the same id
+                if _short(_sha(words)) != sha:  # another text of the same id
                     continue
                 edge = np.zeros(len(words) + 1, np.int32)
                 for hit in hits:
@@ -180,7 +240,7 @@ def _cut(span: int):
                         bits &= bits - 1
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append((doc, sha, int(gone.sum()), _sha(kept), b" ".join(kept).decode("utf-8", "replace")))
+                out.append((doc, sha, int(gone.sum()), _sha(kept), b" ".join(kept).decode("utf-8", "replace") if texts else None))
             yield pd.DataFrame(out, columns=["doc_id", "sha", "n_removed", "kept_sha256", "kept"])
 
     return run
@@ -199,7 +259,7 @@ def _text_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id string, text string")
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = False, most_anchors: int = MOST_ANCHORS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (with ``texts``, also the kept words,
     null where nothing goes).
 
@@ -212,28 +272,31 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(name.alias("doc_id"), F.col(text_col).alias("text"))
     signed = checkpointed(_anchored(docs, span))
     spots = signed.select("doc_id", F.posexplode("g").alias("j", "g"))
-    repeated = spots.groupBy("g").count().filter("count > 1").select("g", (F.col("count") > OFTEN).alias("often"))
-    marks = checkpointed(
-        spots.join(repeated, "g").groupBy("doc_id").agg(F.collect_set(F.struct("j", "often")).alias("marks"))
-    )
-    marked = _text_of(docs, marks.select(F.col("doc_id").alias("id"))).join(marks, "doc_id")
-    contexts = checkpointed(_contexts(marked, span))
-    counted = contexts.groupBy("shard", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("words", ignorenulls=True).alias("words"))
+    repeated = checkpointed(spots.groupBy("g").count().filter("count > 1").select("g", (F.col("count") > OFTEN).alias("often")))
+    found = Repeated.of(repeated, repeated.count(), most_anchors)
+    rows = docs
+    if found.bits is None:
+        marks = spots.join(repeated, "g").groupBy("doc_id").agg(F.collect_set(F.struct("j", "often")).alias("marks"))
+        rows = docs.join(checkpointed(marks), "doc_id")
+    contexts = checkpointed(_contexts(rows, found, span))
+    counted = contexts.filter("doc_id is null").select("shard", "digest", "words", "n")
     counted = counted.repartition("shard").sortWithinPartitions("shard")
-    judged = counted.select("shard", "digest", "words", "n").mapInPandas(_judged(span), "shard bigint, digest binary, bits bigint")
-    hits = contexts.select("doc_id", "sha", "at", "shard", "digest").join(judged, ["shard", "digest"])
+    judged = counted.mapInPandas(_judged(span), "shard bigint, digest binary, bits bigint")
+    places = contexts.filter("doc_id is not null").select("doc_id", "sha", "at", "shard", "digest")
+    hits = places.join(judged, ["shard", "digest"])
     hits = checkpointed(hits.groupBy("doc_id", "sha").agg(F.collect_set(F.struct("at", "bits")).alias("hits")))
     touched = _text_of(docs, hits.select(F.col("doc_id").alias("id"))).join(hits, "doc_id")
-    cut = touched.mapInPandas(_cut(span), "doc_id string, sha string, n_removed bigint, kept_sha256 string, kept string")
+    cut = touched.mapInPandas(_cut(span, texts), "doc_id string, sha bigint, n_removed bigint, kept_sha256 string, kept string")
     what = ["n_removed", "kept_sha256", *(["kept"] if texts else [])]
     # Rows that repeat an id and a text are cut alike.
     cut = cut.groupBy("doc_id", "sha").agg(*(F.first(x).alias(x) for x in what))
-    out = signed.select("doc_id", "n_words", "sha").join(cut, ["doc_id", "sha"], "left")
+    signed = signed.select("doc_id", "n_words", F.col("sha").alias("whole"), F.conv(F.substring("sha", 1, 16), 16, -10).cast("bigint").alias("sha"))
+    out = signed.join(cut, ["doc_id", "sha"], "left")
     out = out.select(
         F.when(F.col("doc_id") != "-", F.col("doc_id")).cast("bigint").alias("doc_id"),
         "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
         *(["kept"] if texts else []),
     )
     return out
