@@ -50,8 +50,15 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_quality_rules": op3_quality_rules,
