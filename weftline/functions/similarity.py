@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from weftline.functions import lexicon as X
 from weftline.functions import text as T
@@ -150,13 +151,13 @@ def rule_score(n1: str, a1: str, n2: str, a2: str) -> float:
 def _over(f: Callable[..., float], n: int = 2):
     if n == 2:
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(types.DoubleType())
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
     else:
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(types.DoubleType())
         def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
             return pd.Series([f(*(x or "" for x in row)) for row in zip(a, b, c, d, strict=True)], dtype=float)
 
@@ -178,7 +179,7 @@ CHARACTER_FEATURES = (
 )
 
 
-@F.pandas_udf(", ".join(f"{c} double" for c in CHARACTER_FEATURES))
+@F.pandas_udf(types.StructType([types.StructField(c, types.DoubleType()) for c in CHARACTER_FEATURES]))
 def character_features(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
     """All features of a pair that compare characters."""
     rows = []

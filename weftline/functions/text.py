@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from weftline.functions import lexicon as X
 from weftline.functions.stem import porter_stem
@@ -48,7 +49,7 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_letters()), r"[^\x00-\x7F]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def fold_exact(s: pd.Series) -> pd.Series:
     """Full compatibility decomposition, then what is ASCII."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
@@ -180,7 +181,7 @@ def query_words(name: Column, address: Column) -> Column:
     return F.when(F.size(own) > 0, F.slice(own, 1, 2)).otherwise(F.slice(good(both), 1, 1))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(types.ArrayType(types.StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     """Porter stems of lower-case, folded words."""
     cache: dict[str, str] = {}
