@@ -26,10 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.common import checkpointed
 from weftline.llm.components import components
+from weftline.llm.textcodes import ngram_hashes, word_hashes
 
 N = 5
 #: Members per search.
@@ -39,47 +41,14 @@ REPORTED, MOST_FREQUENT = 4, 100_000
 SIGNATURE_BITS = 1024
 SKETCH_BITS = 1 << 20
 
-# Lower-cases A-Z; the other bytes stay.
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-
-class _WordHashes(dict):
-    """64-bit hashes of words; emptied when it holds many."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-
-
-def split_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def ngram_set(words: np.ndarray, n: int = N) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams; of a shorter text, of the whole sequence."""
+    return np.unique(ngram_hashes(words, min(n, len(words)))) if len(words) else words
 
 
-def ngram_set(words: list[bytes], n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; of a shorter text, of the whole sequence."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    acc = np.full(len(words) - width + 1, width, np.uint64)
-    for k in range(width):
-        acc = _mixed(acc * _MULTIPLIER + h[k : len(h) - width + 1 + k])
-    return np.unique(acc)
+def _key(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
 def _at_least(n: np.ndarray | int, part: int, whole: int):
@@ -97,8 +66,8 @@ def frequent_ngrams(docs: DataFrame, n: int = N) -> np.ndarray:
         for batch in batches:
             seen, sets = set(), []
             for text in batch["text"]:
-                words = split_words(text)
-                key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                words = word_hashes(text, lower=True)
+                key = _key(words)
                 if key not in seen:
                     seen.add(key)
                     sets.append(ngram_set(words, n))
@@ -113,9 +82,10 @@ def frequent_ngrams(docs: DataFrame, n: int = N) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, frequent: np.ndarray, n: int) -> DataFrame:
-    """(doc_id, n_shingles, key, prefix, bits) of every text.
+    """(doc_id, n_shingles, key, prefix, light, bits) of every text.
 
-    ``prefix`` are the first n-grams in order; ``bits`` has a bit for each residue that an odd number of
+    ``prefix`` are the first n-grams in order, of which ``light`` are not in the table of frequent ones;
+    ``bits`` has a bit for each residue that an odd number of
     n-grams has, so that two signatures differ in no more bits than the sets in n-grams.
     """
     order = np.argsort(frequent)
@@ -123,26 +93,28 @@ def _signed(docs: DataFrame, frequent: np.ndarray, n: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, keys, prefixes, bits = [], [], [], []
+            sizes, keys, prefixes, lights, bits = [], [], [], [], []
             for text in batch["text"]:
-                words = split_words(text)
+                words = word_hashes(text, lower=True)
                 grams = ngram_set(words, n)
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                keys.append(_key(words))
                 sizes.append(len(grams))
                 size = len(grams) - int(_at_least(len(grams), 4, 5)) + 1 if len(grams) else 0
-                ordered = grams
+                ordered, light = grams, len(grams)
                 if len(values) and len(grams):
                     at = np.searchsorted(values, grams)
                     at[at == len(values)] = 0
                     often = values[at] == grams
                     if often.any():
+                        light -= int(often.sum())
                         ordered = grams[np.argsort(np.where(often, ranks[at], 0), kind="stable")]
+                lights.append(min(light, size))
                 prefixes.append(ordered[:size].view(np.int64))
                 odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "key": keys, "prefix": prefixes, "bits": bits})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "key": keys, "prefix": prefixes, "light": lights, "bits": bits})
 
-    schema = "doc_id string, n_shingles bigint, key binary, prefix array<bigint>, bits array<bigint>"
+    schema = "doc_id string, n_shingles bigint, key binary, prefix array<bigint>, light int, bits array<bigint>"
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
@@ -155,6 +127,16 @@ def _may_link(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (differ <= most)
 
 
+def _enough(n1: str, n2: str) -> Column:
+    """Whether the n-grams that two prefixes share leave room for T.
+
+    All shared n-grams up to the end of the prefix that ends first are in both prefixes; of the others
+    that text has at most ceil(0.8 n) - 1.
+    """
+    both, most = F.col(n1) + F.col(n2), F.greatest(n1, n2)
+    return F.col("shared") >= F.ceil(both * 4 / 9) - (F.ceil(most * 4 / 5) - 1)
+
+
 def search(query: np.ndarray, members: list[np.ndarray], factor: float = 0.01) -> list[int]:
     """Places of the members whose similarity to the query is at least 0.8, by DivideSkip."""
     sizes = np.array([len(m) for m in members], np.int64)
@@ -204,7 +186,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             bit = batch["bit"].to_numpy(np.int64)
             batch = batch[(sketch[bit >> 6] >> (bit & 63)) & 1 == 1]
-            yield pd.DataFrame({"id": batch["id"], "grams": [ngram_set(split_words(t), n).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "grams": [ngram_set(word_hashes(t, lower=True), n).tobytes() for t in batch["text"]]})
 
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS)).alias("bit"))
     return rows.mapInPandas(run, "id bigint, grams binary")
@@ -246,6 +228,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return checkpointed(rows.mapInPandas(_searches, "a bigint, b bigint"))
 
 
+def _lists(classes: DataFrame) -> DataFrame:
+    """(h, rep, n, q): the inverted lists with more than one class, q being the smallest.
+
+    Lists of n-grams outside the table of frequent ones are short and are sorted once. The others are
+    reduced to their smallest class where their rows are, so that no task gathers a long list.
+    """
+    postings = classes.select("rep", "n", "light", F.posexplode("prefix").alias("at", "h"))
+    postings = postings.select("h", "rep", "n", (F.col("at") < F.col("light")).alias("short"))
+    own = W.partitionBy("h")
+    short = postings.filter("short").select("h", "rep", "n")
+    short = short.withColumns({"q": F.min("rep").over(own), "other": F.max("rep").over(own)}).filter("q < other").drop("other")
+    long = postings.filter("not short").select("h", "rep", "n")
+    heads = long.groupBy("h").agg(F.min("rep").alias("q"), F.max("rep").alias("other")).filter("q < other").drop("other")
+    return short.unionByName(long.join(heads, "h")).select("h", "rep", "n", "q")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -257,32 +255,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = checkpointed(_signed(docs, frequent_ngrams(docs, n), n))
     some = signed.filter("n_shingles > 0")
-    held = some.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = checkpointed(
-        some.filter("doc_id is not null").groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "prefix", "bits"), "doc_id").alias("x")).select("x.*")
-    )
-    classes = classes.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "bits")
-    postings = classes.select("rep", "n", F.posexplode("prefix").alias("at", "h"))
-    leaders = postings.groupBy("h").agg(F.min("rep").alias("q"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("h", "q")
-    # The shorter of two linked texts has a shared n-gram in its index prefix, which is shorter.
-    indexed = F.col("at") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
-    live = checkpointed(postings.join(leaders, "h").select("h", "rep", "n", "q", indexed.alias("indexed")))
-    facts = classes.select("rep", "n", "bits")
-    first = live.filter("rep <> q").select("q", F.col("rep").alias("m")).distinct()
+    held = checkpointed(some.groupBy("key").agg(F.min("doc_id").alias("rep")))
+    first = held.filter("rep is not null").select(F.col("rep").alias("doc_id"), "key")
+    classes = some.join(first, ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "light", "bits")
+    live = checkpointed(_lists(classes))
+    facts = some.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits")
+    facts = checkpointed(facts.join(live.select("rep").distinct(), "rep", "left_semi"))
     of = lambda side: facts.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    may = _may_link(F.col("n_q"), F.col("bits_q"), F.col("n_m"), F.col("bits_m"))
-    first = first.join(of("q"), "q").join(of("m"), "m").filter(may).select("q", "m").distinct()
+    # A link that this count misses, as other lists of the pair have another smallest member, is found below.
+    first = live.filter("rep <> q").groupBy("q", F.col("rep").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
+    first = first.join(of("q"), "q").join(of("m"), "m").filter(_enough("n_q", "n_m"))
+    first = first.filter(_may_link(F.col("n_q"), F.col("bits_q"), F.col("n_m"), F.col("bits_m"))).select("q", "m").distinct()
     links = _verified(docs, first, n)
     found = checkpointed(components(links))
     # Lists that still hold more than one component.
     placed = live.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     open_ = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    rest = checkpointed(placed.join(open_, "h").join(facts.select("rep", "bits"), "rep").select("h", "rep", "n", "bits", "c", "indexed"))
+    rest = checkpointed(placed.join(open_, "h").join(facts.select("rep", "bits"), "rep").select("h", "rep", "n", "bits", "c"))
     a, b = rest.alias("a"), rest.alias("b")
     c = F.col
-    shorter = F.when(c("a.n") <= c("b.n"), c("a.indexed")).otherwise(c("b.indexed")) | ((c("a.n") == c("b.n")) & c("b.indexed"))
-    apart = (c("a.h") == c("b.h")) & (c("a.rep") < c("b.rep")) & (c("a.c") != c("b.c")) & shorter
-    second = a.join(b, apart & _may_link(c("a.n"), c("a.bits"), c("b.n"), c("b.bits"))).select(c("a.rep").alias("q"), c("b.rep").alias("m")).distinct()
+    apart = (c("a.h") == c("b.h")) & (c("a.rep") < c("b.rep")) & (c("a.c") != c("b.c"))
+    second = a.join(b, apart & _may_link(c("a.n"), c("a.bits"), c("b.n"), c("b.bits")))
+    second = second.groupBy(c("a.rep").alias("q"), c("b.rep").alias("m"), c("a.n").alias("n_q"), c("b.n").alias("n_m")).agg(F.count(F.lit(1)).alias("shared"))
+    second = second.filter(_enough("n_q", "n_m")).select("q", "m").distinct()
     more = _verified(docs, second, n)
     linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = components(linked).withColumnRenamed("node", "rep")
