@@ -7,7 +7,7 @@ replaces "all rules must pass". A few disagreeing rules no longer decide alone.
 
 EM needs only how often each combination of votes occurs: at most 3 ** len(RULES) counts, whatever the
 number of texts. Its result is a table of log-odds, one number per rule and vote, with which the
-posterior is again a plain expression.
+posterior is again a plain expression. Texts that fail the base checks do not take part in it.
 """
 
 from __future__ import annotations
@@ -86,11 +86,13 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def fit(patterns: Mapping[Sequence[int], int], iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
     """Log-odds of the good class: of the class itself, and of each vote of each rule.
 
-    ``patterns`` counts the texts with each combination of votes. EM starts from the votes' majority.
-    A vote has the prior of AGREE, ABSTAIN and DISAGREE in the class that it speaks for.
+    ``patterns`` counts the texts with each combination of votes. EM starts from the belief that each
+    vote for bad makes a text a good deal less likely to be good, so that the bad class forms around
+    such votes however rare they are. A vote has the prior of AGREE, ABSTAIN and DISAGREE in the class
+    that it speaks for, and never speaks for the other one.
     """
     n_rules = len(next(iter(patterns), ()))
-    post = {p: 1 / (1 + math.exp(-1.5 * sum(p))) for p in patterns}
+    post = {p: _sigmoid(3.0 - 3.5 * p.count(-1)) for p in patterns}
     prior, tables = 0.0, [dict.fromkeys(VOTES, 0.0) for _ in range(n_rules)]
     for _ in range(iterations if patterns else 0):
         good = sum(n * post[p] for p, n in patterns.items())
@@ -103,7 +105,8 @@ def fit(patterns: Mapping[Sequence[int], int], iterations: int = ITERATIONS) ->
                 counts[1][p[k]] += n * post[p]
                 counts[0][p[k]] += n * (1 - post[p])
             sums = {c: sum(counts[c].values()) for c in counts}
-            tables.append({v: math.log(counts[1][v] / sums[1]) - math.log(counts[0][v] / sums[0]) for v in VOTES})
+            odds = {v: math.log(counts[1][v] / sums[1]) - math.log(counts[0][v] / sums[0]) for v in VOTES}
+            tables.append({-1: min(odds[-1], 0.0), 0: odds[0], 1: max(odds[1], 0.0)})
         post = {p: _sigmoid(prior + sum(t[v] for t, v in zip(tables, p, strict=True))) for p in patterns}
     return prior, tables
 
@@ -122,13 +125,14 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     rows = checkpointed(signals(docs, id_col, text_col))
     votes = rule_votes()
-    counted = rows.groupBy(*(v.alias(k) for k, v in votes.items())).count().collect()  # 3 ** len(votes) rows at most
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # What fails the base checks is decided already, and would only hide what sets the others apart.
+    counted = rows.filter(~failed).groupBy(*(v.alias(k) for k, v in votes.items())).count().collect()  # 3 ** len(votes) rows at most
     prior, tables = fit({tuple(r[k] for k in votes): r["count"] for r in counted})
     odds = F.lit(prior)
     for (_, vote), table in zip(votes.items(), tables, strict=False):
         odds = odds + F.when(vote < 0, table[-1]).when(vote > 0, table[1]).otherwise(table[0])
     quality = 1 / (1 + F.exp(-odds))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= least)).alias("kept"), quality.alias("quality")
     )
