@@ -11,6 +11,7 @@ from weftline.sources import tsv
 
 #: Kinds of violations in the order in which they are reported.
 CHECKS = ("coverage", "missing", "extra", "duplicate", "self", "invalid", "not_candidate")
+# The messages.
 MESSAGES = {
     "coverage": "Coverage mismatch: {}",
     "missing": "Missing Source 1 entities in matching results: {}",
