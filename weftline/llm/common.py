@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.session import checkpointed
 
-__all__ = ["SPACES", "WORD_GAP", "checkpointed", "documents", "labels", "n_words", "words"]
+__all__ = ["SPACES", "WORD_GAP", "checkpointed", "documents", "labels", "n_words", "sketch_of", "text_batches", "within", "words"]
 
 #: The separators of words, as characters and as a pattern.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,6 +22,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def text_batches(df: DataFrame, most: int = 1000) -> DataFrame:
+    """Limits the rows that the session sends to Python at once.
+
+    Texts and sets of n-grams are large, and a batch is held several times over on its way.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+    return df
+
+
 def words(text: Column) -> Column:
     """Words between runs of separators; an empty array for null and blank texts."""
     inner = F.btrim(text, F.lit(SPACES))
@@ -31,3 +42,35 @@ def words(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     inner = F.btrim(text, F.lit(SPACES))
     return F.when(F.length(inner) > 0, F.size(F.split(inner, WORD_GAP))).otherwise(F.lit(0)).cast("long")
+
+
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 1 << 14
+
+
+def one_bit(x: Column) -> Column:
+    """The long with the bit that the last six bits of x name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+
+
+def as_array(table: DataFrame, at: str, value: str) -> Column:
+    """A scalar subquery: the values of a table of bounded size in the order of ``at``."""
+    return table.agg(F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda x: x[value]).alias("x")).scalar()
+
+
+def sketch_of(keys: DataFrame, key: Column) -> Column:
+    """A scalar subquery with a bit for each residue of a key; its size does not depend on the table.
+
+    It only serves to leave out rows early that a join would leave out; where all bits are set, all
+    rows go to the join.
+    """
+    bit = F.pmod(key, F.lit(SKETCH_WORDS * 64))
+    words = keys.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(one_bit(bit)).alias("x"))
+    every = keys.sparkSession.range(SKETCH_WORDS).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    return as_array(every.select("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")), "w", "x")
+
+
+def within(key: Column, sketch: Column) -> Column:
+    """Whether the key's bit is set."""
+    bit = F.pmod(key, F.lit(SKETCH_WORDS * 64))
+    return F.call_function("shiftright", F.get(sketch, F.floor(bit / 64).cast("int")), bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1

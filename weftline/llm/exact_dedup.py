@@ -14,8 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from weftline.llm.common import WORD_GAP, checkpointed
+from weftline.llm.common import checkpointed, sketch_of, within
 
 BLOCK_CHARS = 4096
 
@@ -28,7 +29,10 @@ def normalised(text: Column) -> Column:
 
 def _named(values: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column with integer names in sort order."""
-    distinct = values.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    distinct = values.select(column).distinct()
+    # Ranges are found from a sample that passes through the driver; the start of a block is enough.
+    ranged = F.substring(column, 1, 32) if isinstance(distinct.schema[column].dataType, StringType) else F.col(column)
+    distinct = distinct.repartitionByRange(ranged).sortWithinPartitions(column)
     return checkpointed(distinct.withColumn("name", F.monotonically_increasing_id()))
 
 
@@ -79,7 +83,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = signed.join(repeated, ["h", "len"], "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    texts = base.select("doc_id", "norm", *key).join(repeated, ["h", "len"], "left_semi")
+    texts = base.select("doc_id", "norm", *key).filter(within(F.col("h"), sketch_of(repeated, F.col("h"))))
+    texts = texts.join(repeated, ["h", "len"], "left_semi")
     texts = checkpointed(texts.select("doc_id", "norm").withColumn("rid", F.monotonically_increasing_id()))
     rows = checkpointed(
         block_names(texts, block_chars).join(texts.select("rid", "doc_id", F.sha2("norm", 256).alias("text_sha256")), "rid")
@@ -93,12 +98,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), "text_sha256")
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    found = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows whose id no dropped row has stay without being shuffled.
+    """
+    groups = checkpointed(exact_groups(docs, id_col, text_col))
+    gone = groups.filter("not kept").select(F.xxhash64("doc_id").alias("k"))
+    touched = within(F.xxhash64(F.col(id_col).cast(groups.schema["doc_id"].dataType)), sketch_of(gone, F.col("k")))
+    kept = groups.filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_text"))
+    rows = docs.filter(touched).withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
+    found = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_text")), "left_semi")
     # Rows that repeat an id and a text are brought together by the join already.
-    return found.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return docs.filter(~touched).unionByName(found.dropDuplicates([id_col, "_sha"]).drop("_sha"))
 
 
 ORACLE_SQL = r"""

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import text_batches
+
 #: The base phrases with their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -228,4 +230,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object) if batch["doc_id"].isna().any() else batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)

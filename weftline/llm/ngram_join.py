@@ -29,15 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import checkpointed
+from weftline.llm.common import checkpointed, sketch_of, text_batches, within
 from weftline.llm.components import components
 from weftline.llm.textcodes import ngram_hashes, word_hashes
 
 N = 5
 #: Members per search.
 CHUNK = 256
-#: An n-gram that a batch holds so often is reported; the table of frequent ones is bounded.
-REPORTED, MOST_FREQUENT = 4, 100_000
+#: An n-gram that texts of so many n-grams hold so often is reported; the table of frequent ones is bounded.
+TOGETHER, REPORTED, MOST_FREQUENT = 3_000_000, 4, 100_000
 SIGNATURE_BITS = 1024
 SKETCH_BITS = 1 << 20
 
@@ -59,25 +59,31 @@ def _at_least(n: np.ndarray | int, part: int, whole: int):
 def frequent_ngrams(docs: DataFrame, n: int = N) -> np.ndarray:
     """Hashes of the most frequent n-grams, most frequent first.
 
-    Batches report the n-grams that they hold REPORTED times; reports are added up over all texts.
+    Texts with TOGETHER n-grams in all report those that they hold REPORTED times; reports are added up.
     """
 
+    def reported(sets: list[np.ndarray]) -> pd.DataFrame:
+        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+        often = counts >= REPORTED
+        return pd.DataFrame({"h": values[often].view(np.int64), "n": counts[often]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, sets, size = set(), [], 0
         for batch in batches:
-            seen, sets = set(), []
             for text in batch["text"]:
                 words = word_hashes(text, lower=True)
                 key = _key(words)
                 if key not in seen:
                     seen.add(key)
                     sets.append(ngram_set(words, n))
-            if sets:
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= REPORTED
-                yield pd.DataFrame({"h": values[often].view(np.int64), "n": counts[often]})
-
-    reported = docs.mapInPandas(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    top = reported.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+                    size += len(sets[-1])
+            if size > TOGETHER:
+                yield reported(sets)
+                seen, sets, size = set(), [], 0
+        yield reported(sets)
+
+    totals = docs.mapInPandas(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    top = totals.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
     return np.array([r["h"] for r in top], np.int64).view(np.uint64)
 
 
@@ -252,7 +258,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else it is alone and its component_id is null. Rows that repeat an id are one document with several
     texts. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = text_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = checkpointed(_signed(docs, frequent_ngrams(docs, n), n))
     some = signed.filter("n_shingles > 0")
     held = checkpointed(some.groupBy("key").agg(F.min("doc_id").alias("rep")))
@@ -289,5 +295,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold their component, with all their columns. Rows without an id stay."""
-    kept = near_groups(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_keep"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    gone = checkpointed(near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    own = F.col(id_col).cast("bigint")
+    # Rows that the sketch tells apart from all dropped ones stay without being shuffled.
+    touched = F.coalesce(within(F.xxhash64(own), sketch_of(gone, F.xxhash64("_gone"))), F.lit(False))
+    return docs.filter(~touched).unionByName(docs.filter(touched).join(gone, own == F.col("_gone"), "left_anti"))

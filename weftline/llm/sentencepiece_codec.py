@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import text_batches
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Entries of a generation of a worker's memory, and the longest unit in it.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 
 class Memory:
@@ -75,9 +77,17 @@ class Codec:
         }
         self.chars = {p for p in self.ids if len(p) == 1}
         gap = "" if any("\n" in p for p in self.ids) else "\n"
-        self.unit = re.compile(f"{MARK}*[^{MARK}{gap}]+|{MARK}+" + "|\n+" * bool(gap))
-        self._spines()
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # Marks of punctuation stand in no piece behind another character, so units are cut before them.
+        marks = {"."}
+        while more := {b[0] for b in self.beside if b[1] in marks and b[0] != MARK} - marks:
+            marks |= more
+        own = "".join(map(re.escape, sorted(marks)))
+        self.unit = re.compile(f"{MARK}*[^{MARK}{gap}{own}]+|{MARK}*[{own}]+[^{MARK}{gap}{own}]*|{MARK}+" + "|\n+" * bool(gap))
+        self._spines()
+        self.forget()
+
+    def forget(self) -> None:
         self.fits, self.parts, self.units = Memory(2 * REMEMBERED), Memory(), Memory()
 
     # What BPE builds on the way to a piece.
@@ -262,5 +272,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 )
             frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             yield frame.astype({"doc_id": "Int64"})
+        # The worker may go on to other stages.
+        c.forget()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)

@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import checkpointed
+from weftline.llm.common import checkpointed, text_batches
 from weftline.llm.licenses import SuffixAutomaton
 from weftline.llm.ngram_join import SKETCH_BITS, _sketch
 from weftline.llm.textcodes import ngram_hashes, word_hashes
@@ -269,7 +269,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     # A null id is a text of its own here, so that joins find it.
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    docs = docs.select(name.alias("doc_id"), F.col(text_col).alias("text"))
+    docs = text_batches(docs).select(name.alias("doc_id"), F.col(text_col).alias("text"))
     signed = checkpointed(_anchored(docs, span))
     spots = signed.select("doc_id", F.posexplode("g").alias("j", "g"))
     repeated = checkpointed(spots.groupBy("g").count().filter("count > 1").select("g", (F.col("count") > OFTEN).alias("often")))

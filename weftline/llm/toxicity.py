@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import checkpointed, text_batches
+
 #: Bound of the labelled sample, per class.
 MOST_LABELLED = 4000
 #: Bound of the lexicon.
@@ -251,9 +253,7 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_TERMS) -> Lexicon:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
-    from weftline.llm.common import checkpointed
-
-    sample = checkpointed(labelled_sample(docs, labels, label, id_col, text_col, most))
+    sample = checkpointed(labelled_sample(text_batches(docs), labels, label, id_col, text_col, most))
     model = Model(learn_lexicon(sample))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
