@@ -7,13 +7,12 @@ similarity of at least 0.8; lines are judged on the input, not on what is left.
 2. Words are ordered by rarity. Counts of all words go into a table of BUCKETS numbers, whatever the size
    of the vocabulary; words of one bucket share a rank and are ordered by hash. Any fixed order gives
    the same result, a rarer-first order just gives short lists.
-3. Two similar lines share a word of their prefixes in this order (of the shorter line's index prefix).
-   Prefix words are shuffled once. In each word's list a line is first held against the earliest line of
-   the list; only where sizes or bit signatures rule that line out is it joined with all earlier ones.
-   So a group of near copies costs one pair per line. Sizes, places in the prefix and signatures filter
-   in the join.
-4. Jaccard is verified on the words themselves. Lines whose earliest partner fails are joined with all
-   earlier lines of their lists as well, so that no match is lost.
+3. Two similar lines share a word of their prefixes in this order. Prefix words are shuffled once. In a word's list each line is held against the earlier ones; far down
+   a list, against its first line alone unless sizes or bit signatures rule that one out. So a large
+   group of near copies costs one pair per line. Sizes, signatures and, from the words that two
+   prefixes share and the places where they end, the overlap that is still possible filter pairs.
+4. Jaccard is verified on the words themselves. Lines that were held against a first line alone, and
+   fail there, are joined with all earlier lines of their lists as well, so that no match is lost.
 
 All steps are DataFrame expressions.
 """
@@ -24,150 +23,197 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACES, WORD_GAP, checkpointed
+from weftline.llm.common import SPACES, WORD_GAP, as_array, checkpointed, one_bit, sketch_of, within
 
 BUCKETS = 1 << 18
-SKETCH_WORDS = 1 << 14
-#: Lists of words that occur more often are dealt to several tasks.
+#: A bucket that counts at most so many words has lists that are gathered whole; others are joined.
+SHORT = 1 << 10
+#: Behind so many lines of its list a line is held against the first one only.
+STAR = 32
+#: The lines of a longer list are dealt to several tasks by their keys.
 PER_TASK = 1 << 14
+#: Lines with fewer or more words have a second signature.
+ONE_SIGNATURE = (9, 64)
+_LAST = (1 << 63) - 1
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """(doc, sha, keys): of each text the places and keys of its lines with a word."""
+    trimmed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), F.btrim(x, F.lit(SPACES)).alias("line")))
+    keys = F.transform(
+        F.filter(trimmed, lambda x: F.length(x["line"]) > 0),
+        lambda x: F.struct(x["ln"].alias("ln"), F.xxhash64(x["line"]).alias("k1"), F.xxhash64(F.lit("#"), x["line"]).alias("k2")),
+    )
+    return docs.select("doc", F.sha2("text", 256).alias("sha"), keys.alias("keys"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, ln, line, k1, k2) of the lines with a word; ``line`` without outer separators."""
+    """(doc, ln, line) of the lines with a word; ``line`` without outer separators."""
     rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(SPACES))).filter(F.length("line") > 0)
-    return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit("#"), F.col("line"))})
+    return rows.withColumn("line", F.btrim("line", F.lit(SPACES))).filter(F.length("line") > 0)
+
+
+def _words(line: str) -> Column:
+    return F.split(line, WORD_GAP)
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit("#"), F.col("line"))})
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """A scalar subquery: for each bucket, 200 times the logarithm of the count of its words."""
-    words = lines.select(F.explode(F.split("line", WORD_GAP)).alias("w"))
+def _rank_of(count: Column) -> Column:
+    return F.floor(200 * F.log2(count + 1)).cast("int")
+
+
+def _rarity(docs: DataFrame) -> DataFrame:
+    """(b, rank): for each bucket, 200 times the logarithm of the count of its words."""
+    words = docs.select(F.explode(_words("text")).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.floor(200 * F.log2(F.col("n") + 1)).cast("int")
-    spark = lines.sparkSession
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce(rank, F.lit(0)).alias("rank"))
-    # BUCKETS numbers, whatever the corpus.
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "rank"))), lambda x: x["rank"]).alias("rank")).scalar()
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    return checkpointed(every.join(counts, "b", "left").select("b", F.coalesce(_rank_of(F.col("n")), F.lit(0)).alias("rank")))
 
 
-def _classes(lines: DataFrame) -> DataFrame:
-    """(k1, k2, first, n, sig, prefix): one row per distinct line."""
-    ranks = _rarity(lines)
+def _classes(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(doc, ln, n, sig, more, prefix): one row per distinct line, at its earliest place."""
     # Higher-order functions take no subquery; as a column it is folded into the expression again.
-    lines = lines.withColumn("ranks", ranks)
-    coded = lines.select("k1", "k2", "ranks", F.struct(F.col("doc").isNull().alias("none"), "doc", "ln").alias("first"), F.transform(F.split("line", WORD_GAP), lambda w: F.xxhash64(w)).alias("h"))
+    coded = _keyed(lines).withColumn("ranks", as_array(ranks, "b", "rank"))
+    coded = coded.select("k1", "k2", "ranks", F.struct("doc", "ln").alias("first"), F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("h"))
     rank = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 50)
     coded = coded.withColumn("v", F.sort_array(F.array_distinct(F.transform("h", lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 14)))))).drop("h", "ranks")
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    signed = lambda bits: F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(one_bit(bits(x))))
     coded = coded.select(
         "k1",
         "k2",
         "first",
         F.size("v").alias("n"),
-        F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x))).alias("sig"),
+        signed(lambda x: x).alias("sig"),
+        F.when(~F.size("v").between(*ONE_SIGNATURE), signed(lambda x: F.shiftright(x, 6))).otherwise(F.lit(0).cast("long")).alias("more"),
         F.slice("v", 1, F.size("v") - F.ceil(F.size("v") * 4 / 5).cast("int") + 1).alias("prefix"),
     )
-    return coded.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.first(F.struct("n", "sig", "prefix")).alias("x")).select("k1", "k2", "first", "x.*")
+    rows = coded.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.first(F.struct("n", "sig", "more", "prefix")).alias("x"))
+    return rows.select("first.doc", "first.ln", "x.*")
+
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """(t, doc, at, sig, more): a word of a line's prefix; ``at`` holds the line's place and its size."""
+    at = F.shiftleft(F.col("ln").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    return classes.select(F.explode("prefix").alias("t"), "doc", at.alias("at"), "sig", "more")
 
-def _near(n1: Column, sig1: Column, n2: Column, sig2: Column) -> Column:
-    """Whether sizes and signatures leave room for similarity 0.8."""
-    most = n1 + n2 - 2 * F.ceil((n1 + n2) * 4 / 9)
-    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (F.bit_count(sig1.bitwiseXOR(sig2)) <= most)
 
+def _size(a: Column) -> Column:
+    return a["at"].bitwiseAND((1 << 32) - 1)
+
+
+def _near(a: Column, b: Column, slack: int = 1) -> Column:
+    """Whether sizes and signatures leave room for similarity 0.8, with ``slack`` times that room."""
+    n, m = _size(a), _size(b)
+    most = n + m - 2 * F.ceil((n + m) * 4 / 9)
+    differ = F.greatest(
+        F.bit_count(a["sig"].bitwiseXOR(b["sig"])),
+        F.when(~n.between(*ONE_SIGNATURE) & ~m.between(*ONE_SIGNATURE), F.bit_count(a["more"].bitwiseXOR(b["more"]))).otherwise(0),
+    )
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (slack * differ <= most)
+
+
+_ENTRY = ("doc", "at", "sig", "more")
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(t, part, id, doc, n, sig, indexed); ``id`` is the class's first key, which its second may share."""
-    rows = classes.select(F.col("k1").alias("id"), F.col("first.doc").alias("doc"), "n", "sig", F.posexplode("prefix").alias("at", "t"))
-    indexed = F.col("at") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
-    return rows.select("t", "id", F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "n", "sig", indexed.alias("indexed"))
 
+def _earlier(b: str, a: str) -> Column:
+    return F.struct(f"{b}.doc", f"{b}.at") < F.struct(f"{a}.doc", f"{a}.at")
 
-def _apart(a: str, b: str) -> Column:
-    """Whether the filters let line ``a`` be a later match of line ``b`` in one list."""
-    c = lambda side, x: F.col(f"{side}.{x}")
-    shorter = F.when(c(a, "n") <= c(b, "n"), c(a, "indexed")).otherwise(c(b, "indexed")) | ((c(a, "n") == c(b, "n")) & c(b, "indexed"))
-    earlier = (c(b, "doc") < c(a, "doc")) | ((c(b, "doc") == c(a, "doc")) & (c(b, "id") != c(a, "id")))
-    return earlier & shorter & _near(c(a, "n"), c(a, "sig"), c(b, "n"), c(b, "sig"))
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """From (a, b, star), a row per list, to (doc, ln, doc2, ln2, star).
+
+    All words that two lines share up to the end of the prefix that ends first are in both prefixes; of
+    the others that line has at most ceil(0.8 n) - 1. So the number of lists that a pair shares tells
+    whether it can be similar. ``star`` pairs share lists that are not counted, and are kept.
+    """
+    ln = lambda x: F.shiftright(f"{x}.at", 32).cast("int")
+    rows = rows.select(
+        F.col("a.doc").alias("doc"), ln("a").alias("ln"), F.col("b.doc").alias("doc2"), ln("b").alias("ln2"), "star", _size(F.col("a")).alias("n"), _size(F.col("b")).alias("m")
+    )
+    rows = rows.groupBy("doc", "ln", "doc2", "ln2").agg(F.max("star").alias("star"), F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
+    enough = F.col("shared") >= F.ceil((F.col("n") + F.col("m")) * 4 / 9) - F.ceil(F.greatest("n", "m") * 4 / 5) + 1
+    return rows.filter(F.col("star") | enough).select("doc", "ln", "doc2", "ln2", "star")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, star): class ``a`` may be a later match of class ``b``."""
-    rows = _postings(classes)
-    # The rank in t bounds the length of its list; long lists get several first lines.
-    parts = F.ceil(F.pow(F.lit(2.0), F.shiftright("t", 50) / 200) / PER_TASK)
-    order = W.partitionBy("t", F.pmod("id", parts)).orderBy("doc", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    head = F.first(F.struct("id", "n", "sig")).over(order)
-    rows = rows.repartition("t").withColumn("head", head)
-    led = (F.col("id") != F.col("head.id")) & _near(F.col("n"), F.col("sig"), F.col("head.n"), F.col("head.sig"))
-    rows = rows.select("t", "id", "doc", "n", "sig", "indexed", F.when(led, F.col("head.id")).alias("led"))
-    star = rows.filter("led is not null").select(F.col("id").alias("a"), F.col("led").alias("b"), F.lit(True).alias("star"))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.t") == F.col("b.t")) & F.col("a.led").isNull() & _apart("a", "b")
-    return star.unionByName(a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(False).alias("star"))).groupBy("a", "b").agg(F.max("star").alias("star"))
-
-
-def _sketch(keys: DataFrame) -> Column:
-    """A scalar subquery with a bit for each residue of the keys (k); bounded, to leave out others early."""
-    bit = F.pmod(F.col("k"), F.lit(SKETCH_WORDS * 64))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    words = keys.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(one).alias("x"))
-    every = keys.sparkSession.range(SKETCH_WORDS).select(F.col("id").cast("int").alias("w")).join(words, "w", "left").select("w", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "x"))), lambda x: x["x"]).alias("x")).scalar()
-
-
-def _within(key: Column, sketch: Column) -> Column:
-    bit = F.pmod(key, F.lit(SKETCH_WORDS * 64))
-    return F.call_function("shiftright", F.get(sketch, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")).bitwiseAND(1) == 1
-
-
-def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(k1, k2, b1, b2, star, ok) for the classes behind each pair, with Jaccard of the words themselves."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    texts = lines.filter(_within(F.col("k1"), _sketch(ids))).join(ids, F.col("k1") == F.col("k"), "left_semi")
-    texts = texts.groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    texts = checkpointed(texts.withColumn("words", F.array_distinct(F.split("line", WORD_GAP))).drop("line"))
-    other = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("words").alias("other"))
-    both = pairs.join(texts, F.col("a") == F.col("k1")).join(other, F.col("b") == F.col("b1"))
-    shared = F.size(F.array_intersect("words", "other"))
-    ok = 10 * shared >= 8 * (F.size("words") + F.size("other") - shared)
-    return checkpointed(both.select("k1", "k2", "b1", "b2", "star", ok.alias("ok")))
-
-
-def _later(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(k1, k2) of the classes that a verified pair puts behind an earlier one."""
-    place = classes.select("k1", "k2", "first")
-    found = found.filter("ok").select("k1", "k2", "b1", "b2")
-    # A pair that compares lines of one document may have them in either order.
-    found = found.unionByName(found.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("k1").alias("b1"), F.col("k2").alias("b2")))
-    found = found.join(place, ["k1", "k2"]).join(place.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("first").alias("other")), ["b1", "b2"])
-    return found.filter(F.col("other") < F.col("first")).select("k1", "k2").distinct()
-
-
-def judged_lines(docs: DataFrame) -> DataFrame:
-    """(doc, lns): the places of the lines to remove, of documents that have any."""
-    lines = _lines(docs)
-    classes = checkpointed(_classes(lines))
-    pairs = checkpointed(_candidates(classes))
-    found = _verified(lines, pairs)
-    late = _later(classes, found)
+    """(doc, ln, doc2, ln2, star): the first line may be a later match of the second.
+
+    ``star`` marks pairs with the first line of a list, in whose stead no others of the list are given.
+    """
+    rows = _postings(classes).select("t", F.struct(*_ENTRY).alias("a"))
+    count = F.pow(F.lit(2.0), (F.shiftright("t", 50) + 1) / 200)
+    # The bucket's count bounds the list, so that what is gathered is bounded too.
+    # Without the exchange here, each row would be sent as a list of its own.
+    short = rows.filter(count <= SHORT).repartition("t").groupBy("t").agg(F.sort_array(F.collect_list("a")).alias("l")).filter(F.size("l") > 1)
+    short = short.select("l", F.posexplode("l").alias("i", "a")).filter("i > 0")
+    led = (F.col("i") > STAR) & _near(F.col("a"), F.get("l", F.lit(0)), 2)
+    short = short.withColumn("star", led)
+    short = short.select("a", "star", F.explode(F.when(F.col("star"), F.slice("l", 1, 1)).otherwise(F.slice("l", 1, F.col("i")))).alias("b"))
+    short = short.filter(F.col("star") | _near(F.col("a"), F.col("b")))
+    # Longer lists have several first lines, and are joined.
+    order = W.partitionBy("t", "part").orderBy("a.doc", "a.at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    long = rows.filter(count > SHORT).withColumn("part", F.pmod(F.xxhash64("a.doc", "a.at"), F.ceil(count / PER_TASK)))
+    long = long.withColumn("head", F.first("a").over(order))
+    long = long.select("t", "a", F.when(_earlier("head", "a") & _near(F.col("a"), F.col("head"), 2), F.col("head")).alias("head"))
+    stars = long.filter("head is not null").select("a", F.lit(True).alias("star"), F.col("head").alias("b"))
+    others = long.select(F.col("t").alias("t2"), F.col("a").alias("b"))
+    on = (F.col("t") == F.col("t2")) & _earlier("b", "a") & _near(F.col("a"), F.col("b"))
+    rest = long.filter("head is null").join(others, on).select("a", F.lit(False).alias("star"), "b")
+    return _pairs(short.select("a", "star", "b").unionByName(stars).unionByName(rest))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, ln, late, failed): whether a pair of the line has Jaccard 0.8 on the words themselves, and
+    whether a pair that stood for others has not."""
+    ids = pairs.select(F.explode(F.array(F.struct("doc", "ln"), F.struct(F.col("doc2").alias("doc"), F.col("ln2").alias("ln")))).alias("p")).select("p.*").distinct()
+    ids = checkpointed(ids)
+    held = docs.filter(within(F.xxhash64("doc"), sketch_of(ids, F.xxhash64("doc"))))
+    texts = _lines(held).join(ids, ["doc", "ln"], "left_semi")
+    texts = checkpointed(texts.groupBy("doc", "ln").agg(F.first("line").alias("line")))
+    other = texts.select(F.col("doc").alias("doc2"), F.col("ln").alias("ln2"), F.col("line").alias("other"))
+    both = pairs.join(texts, ["doc", "ln"]).join(other, ["doc2", "ln2"])
+    both = both.withColumns({"x": F.array_distinct(_words("line")), "y": F.array_distinct(_words("other"))})
+    shared = F.size(F.array_intersect("x", "y"))
+    ok = 10 * shared >= 8 * (F.size("x") + F.size("y") - shared)
+    return checkpointed(both.select("doc", "ln", "star", ok.alias("ok")).groupBy("doc", "ln").agg(F.max("ok").alias("late"), F.max(F.col("star") & ~F.col("ok")).alias("failed")))
+
+
+def _late_lines(docs: DataFrame) -> DataFrame:
+    """(doc, ln) of the distinct lines, at their first place, that an earlier line matches."""
+    lines, ranks = _lines(docs), _rarity(docs)
+    found = _verified(docs, checkpointed(_candidates(_classes(lines, ranks))))
+    late = found.filter("late").select("doc", "ln")
     # Where the first line of a list was held to be near and is not, all earlier lines count.
-    late = checkpointed(late)
-    open_ = found.filter("star and not ok").select("k1", "k2").distinct().join(late, ["k1", "k2"], "left_anti")
-    open_ = checkpointed(open_)
-    if open_.first() is not None:
-        rows = checkpointed(_postings(classes.join(open_, ["k1", "k2"], "left_semi")))
-        others = _postings(classes)
-        others = others.filter(_within(F.xxhash64("t"), _sketch(rows.select(F.xxhash64("t").alias("k")))))
-        more = rows.alias("a").join(others.alias("b"), (F.col("a.t") == F.col("b.t")) & _apart("a", "b"))
-        more = checkpointed(more.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(False).alias("star")).distinct())
-        late = checkpointed(late.unionByName(_later(classes, _verified(lines, more))).distinct())
+    open_ = checkpointed(found.filter("failed and not late").select("doc", "ln"))
+    if open_.first() is None:
+        return late
+    held = docs.filter(within(F.xxhash64("doc"), sketch_of(open_, F.xxhash64("doc"))))
+    some = checkpointed(_classes(_lines(held).join(open_, ["doc", "ln"], "left_semi"), ranks))
+    # The prefix words of these lines, by the part of their hash that t has.
+    own = F.lit((1 << 50) - 1)
+    words = some.select(F.explode("prefix").alias("t")).select(F.xxhash64(F.col("t").bitwiseAND(own)).alias("k"))
+    held_by = lambda w: F.exists(_words("line"), lambda x: within(F.xxhash64(F.shiftrightunsigned(F.xxhash64(x), 14)), w))
+    near = lines.withColumn("sketch", sketch_of(words, F.col("k"))).filter(held_by(F.col("sketch"))).drop("sketch")
+    a = _postings(some).select("t", F.struct(*_ENTRY).alias("a"))
+    b = _postings(_classes(near, ranks)).select(F.col("t").alias("t2"), F.struct(*_ENTRY).alias("b"))
+    on = (F.col("t") == F.col("t2")) & _earlier("b", "a") & _near(F.col("a"), F.col("b"))
+    more = _pairs(a.join(b, on).select("a", F.lit(False).alias("star"), "b"))
+    return late.unionByName(_verified(docs, checkpointed(more)).filter("late").select("doc", "ln"))
+
+
+def _to_remove(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc, lns): the places of the lines to remove, of documents that have any."""
+    late = _late_lines(docs).withColumn("late", F.lit(True))
+    keyed = whole.select("doc", F.explode("keys").alias("x")).select("doc", "x.*")
+    firsts = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "ln")).alias("first"), F.count(F.lit(1)).alias("held"))
     # A class matters if it goes as a whole, or if it has lines after its first.
-    marks = classes.select("k1", "k2", "first").join(late.withColumn("late", F.lit(True)), ["k1", "k2"], "left")
-    spots = lines.select("doc", "ln", "k1", "k2").join(marks, ["k1", "k2"])
-    own = F.struct(F.col("doc").isNull().alias("none"), "doc", "ln")
-    gone = spots.filter(F.coalesce("late", F.lit(False)) | (F.col("first") < own))
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("ln")).alias("lns"))
+    firsts = firsts.select("k1", "k2", F.col("first.doc").alias("doc"), F.col("first.ln").alias("ln"), "held").join(late, ["doc", "ln"], "left")
+    firsts = firsts.filter("late or held > 1").select("k1", "k2", F.struct("doc", "ln").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
+    gone = keyed.join(firsts, ["k1", "k2"]).filter(F.col("late") | (F.col("first") < F.struct("doc", "ln")))
+    return checkpointed(gone.groupBy("doc").agg(F.sort_array(F.collect_set("ln")).alias("lns")))
 
 
 def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -178,27 +224,21 @@ def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     repeat an id are one document; where their texts differ, a line goes from all of them if it goes at
     its place in one. Lines without words stay. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = checkpointed(judged_lines(docs))
-    key = F.xxhash64(F.coalesce(F.col("doc").cast("string"), F.lit("-")))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blank = lambda x: F.length(F.btrim(x, F.lit(SPACES))) == 0
-    base = docs.select("doc", F.size(F.filter(F.split("text", "\n"), lambda x: ~blank(x))).cast("long").alias("n_lines"), F.sha2("text", 256).alias("sha"))
-    touched = docs.filter(_within(key, _sketch(gone.select(key.alias("k")))))
-    touched = touched.join(gone.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).drop("d")
+    whole = checkpointed(_whole(docs))
+    gone = _to_remove(docs, whole)
+    touched = docs.filter(within(F.xxhash64("doc"), sketch_of(gone, F.xxhash64("doc")))).join(gone, "doc")
     stays = F.filter(F.split("text", "\n"), lambda x, i: blank(x) | ~F.array_contains("lns", i))
-    touched = touched.withColumn("stays", F.array_join(stays, "\n")).select(
-        "doc",
-        F.sha2("text", 256).alias("sha"),
-        F.size(F.filter(F.split("text", "\n"), lambda x, i: ~blank(x) & F.array_contains("lns", i))).cast("long").alias("n_removed"),
-        F.sha2("stays", 256).alias("kept_sha256"),
-        *([F.col("stays").alias("kept")] if texts else []),
-    )
-    what = [x for x in touched.columns if x not in ("doc", "sha")]
-    touched = touched.groupBy(F.col("doc").alias("d"), F.col("sha").alias("s")).agg(*(F.first(x).alias(x) for x in what))
-    out = base.join(touched, F.col("doc").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s")), "left")
+    goes = F.filter(F.split("text", "\n"), lambda x, i: ~blank(x) & F.array_contains("lns", i))
+    touched = touched.select("doc", F.sha2("text", 256).alias("sha"), F.size(goes).cast("long").alias("n_removed"), F.array_join(stays, "\n").alias("kept"))
+    touched = touched.select(F.col("doc").alias("d"), F.col("sha").alias("s"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if texts else []))
+    what = touched.columns[2:]
+    touched = touched.groupBy("d", "s").agg(*(F.first(x).alias(x) for x in what))
+    out = whole.join(touched, (F.col("doc") == F.col("d")) & (F.col("sha") == F.col("s")), "left")
     return out.select(
-        F.col("doc").alias("doc_id"),
-        "n_lines",
+        F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"),
+        F.size("keys").cast("long").alias("n_lines"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         *(["kept"] if texts else []),
