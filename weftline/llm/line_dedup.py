@@ -32,7 +32,7 @@ SHORT = 1 << 10
 STAR = 32
 #: The lines of a longer list are dealt to several tasks by their keys.
 PER_TASK = 1 << 14
-#: Lines with fewer or more words have a second signature.
+#: Lines with fewer or more words have a signature for each half of the hashes.
 ONE_SIGNATURE = (9, 64)
 _LAST = (1 << 63) - 1
 
@@ -80,14 +80,18 @@ def _classes(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     coded = coded.select("k1", "k2", "ranks", F.struct("doc", "ln").alias("first"), F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("h"))
     rank = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 50)
     coded = coded.withColumn("v", F.sort_array(F.array_distinct(F.transform("h", lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 14)))))).drop("h", "ranks")
-    signed = lambda bits: F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(one_bit(bits(x))))
+    none = F.lit(0).cast("long")
+    half = lambda x: F.shiftright(x, 12).bitwiseAND(1)
+    signed = lambda of: F.aggregate("v", none, lambda a, x: a.bitwiseXOR(of(x)))
+    halves = [signed(lambda x, k=k: F.when(half(x) == k, one_bit(x)).otherwise(none)) for k in (0, 1)]
+    whole = F.size("v").between(*ONE_SIGNATURE)
     coded = coded.select(
         "k1",
         "k2",
         "first",
         F.size("v").alias("n"),
-        signed(lambda x: x).alias("sig"),
-        F.when(~F.size("v").between(*ONE_SIGNATURE), signed(lambda x: F.shiftright(x, 6))).otherwise(F.lit(0).cast("long")).alias("more"),
+        F.when(whole, signed(one_bit)).otherwise(halves[0]).alias("sig"),
+        F.when(whole, none).otherwise(halves[1]).alias("more"),
         F.slice("v", 1, F.size("v") - F.ceil(F.size("v") * 4 / 5).cast("int") + 1).alias("prefix"),
     )
     rows = coded.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.first(F.struct("n", "sig", "more", "prefix")).alias("x"))
@@ -108,10 +112,10 @@ def _near(a: Column, b: Column, slack: int = 1) -> Column:
     """Whether sizes and signatures leave room for similarity 0.8, with ``slack`` times that room."""
     n, m = _size(a), _size(b)
     most = n + m - 2 * F.ceil((n + m) * 4 / 9)
-    differ = F.greatest(
-        F.bit_count(a["sig"].bitwiseXOR(b["sig"])),
-        F.when(~n.between(*ONE_SIGNATURE) & ~m.between(*ONE_SIGNATURE), F.bit_count(a["more"].bitwiseXOR(b["more"]))).otherwise(0),
-    )
+    # Where one line has a single signature, the halves of the other make one as well.
+    apart = F.bit_count(a["sig"].bitwiseXOR(b["sig"])) + F.bit_count(a["more"].bitwiseXOR(b["more"]))
+    joint = F.bit_count(a["sig"].bitwiseXOR(a["more"]).bitwiseXOR(b["sig"].bitwiseXOR(b["more"])))
+    differ = F.when(n.between(*ONE_SIGNATURE) | m.between(*ONE_SIGNATURE), joint).otherwise(apart)
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (slack * differ <= most)
 
 
@@ -171,7 +175,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array(F.struct("doc", "ln"), F.struct(F.col("doc2").alias("doc"), F.col("ln2").alias("ln")))).alias("p")).select("p.*").distinct()
     ids = checkpointed(ids)
     held = docs.filter(within(F.xxhash64("doc"), sketch_of(ids, F.xxhash64("doc"))))
-    texts = _lines(held).join(ids, ["doc", "ln"], "left_semi")
+    texts = _lines(held).filter(within(F.xxhash64("doc", "ln"), sketch_of(ids, F.xxhash64("doc", "ln")))).join(ids, ["doc", "ln"], "left_semi")
     texts = checkpointed(texts.groupBy("doc", "ln").agg(F.first("line").alias("line")))
     other = texts.select(F.col("doc").alias("doc2"), F.col("ln").alias("ln2"), F.col("line").alias("other"))
     both = pairs.join(texts, ["doc", "ln"]).join(other, ["doc2", "ln2"])
