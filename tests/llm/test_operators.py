@@ -152,6 +152,37 @@ def test_near_groups(docs, rows, none):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} - {None} == set(label.values())
 
 
+def test_near_links(spark, rows, monkeypatch):
+    """All links inside groups, also over several blocks."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(80)]
+    near = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(80)] = f"x{rng.randrange(9)}"
+        near.append((1000 + i // 2 if i < 4 else 1000 + i, " ".join(w), None, None, None, None))
+    rows = rows + near + [near[7], (None, *near[9][1:])]
+    table = spark.createDataFrame(rows, SCHEMA)
+    words = [tuple(WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or ""))) for r in rows]
+    sets = [frozenset(w[k : k + 5] for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([w] if w else []) for w in words]
+    named = {w for w, r in zip(words, rows, strict=True) if r[0] is not None}
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want, pairs = Counter(), set()
+    for i, (w, x) in enumerate(zip(words, sets, strict=True)):
+        found = [j for j, (v, y) in enumerate(zip(words, sets, strict=True)) if j != i and w in named and v in named and linked(x, y)]
+        want[rows[i][0], len(x), len(found)] += 1
+        pairs |= {frozenset((w, words[j])) for j in found if words[j] != w}
+    assert max(n for _, _, n in want) > 20
+    monkeypatch.setattr(ngram_join, "BLOCK", 500)
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in ngram_join.near_groups(table).collect()) == want
+    got, members = ngram_join.near_links(table)
+    got = [tuple(r) for r in got.collect()]
+    of = {ngram_join._key(textcodes.word_hashes(" ".join(w))).hex(): w for w in words}
+    assert len(got) == len(set(got)) and all(a < b for a, b in got) and {frozenset((of[a], of[b])) for a, b in got} == pairs
+    assert Counter((r["doc_id"], of.get(r["class"], ())) for r in members.collect()) == Counter((r[0], w) for r, w in zip(rows, words, strict=True))
+
+
 def test_search_is_exact():
     rng = np.random.default_rng(4)
     for _ in range(200):

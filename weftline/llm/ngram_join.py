@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by T-occurrence search, with the components of its links.
+"""N-gram Jaccard join by T-occurrence search: its links and their components.
 
 Two texts whose sets of word n-grams have Jaccard similarity of at least 0.8 share T = ceil(4/9 of the
 sum of their sizes) n-grams. Which documents reach T is a T-occurrence problem over inverted lists.
@@ -9,12 +9,15 @@ sum of their sizes) n-grams. Which documents reach T is a T-occurrence problem o
    class go. Counts that find the frequent ones cover all texts; only the order depends on them.
 3. Each list's members are searched from its smallest member, and links found join components. Members
    of a list that are still in different components are then searched pairwise, as far as sizes and bit
-   signatures allow T. A group of near copies is so joined by a star; its pairs are never written out.
-4. A search takes one query and at most CHUNK members. It builds the inverted lists of the members,
+   signatures allow T. A group of near copies is so joined by a star, which gives its component.
+4. Linked classes are in one component, so the links of a component are found inside it: its classes are
+   dealt into blocks, each pair of blocks meets once, and every member is searched. Links are counted
+   there (a class counts as often as it has rows) or written out as pairs of classes.
+5. A search takes one query and at most CHUNK members. It builds the inverted lists of the members,
    merges the short ones and probes the few long ones for those members that can still reach T
    (DivideSkip). Members that reach it are links; the overlap is exact.
 
-No link is lost: any two linked texts share a list, and end in one component by step 3.
+No link is lost: any two linked texts share a list, end in one component by step 3, and meet in step 4.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ N = 5
 CHUNK = 256
 #: An n-gram that texts of so many n-grams hold so often is reported; the table of frequent ones is bounded.
 TOGETHER, REPORTED, MOST_FREQUENT = 3_000_000, 4, 100_000
+#: N-grams of a block of a component.
+BLOCK = 400_000
 SIGNATURE_BITS = 1024
 SKETCH_BITS = 1 << 20
 
@@ -184,18 +189,20 @@ def _sketch(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, grams) of the texts with the ids, and perhaps of some others."""
+def _sets(docs: DataFrame, ids: DataFrame, n: int, keyed: bool = False) -> DataFrame:
+    """(id, grams) of the texts with the ids, and perhaps of some others; ``keyed``, also their keys."""
     sketch = _sketch(ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bit = batch["bit"].to_numpy(np.int64)
             batch = batch[(sketch[bit >> 6] >> (bit & 63)) & 1 == 1]
-            yield pd.DataFrame({"id": batch["id"], "grams": [ngram_set(word_hashes(t, lower=True), n).tobytes() for t in batch["text"]]})
+            words = [word_hashes(t, lower=True) for t in batch["text"]]
+            out = pd.DataFrame({"id": batch["id"], "grams": [ngram_set(w, n).tobytes() for w in words]})
+            yield out.assign(key=[_key(w) for w in words]) if keyed else out
 
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS)).alias("bit"))
-    return rows.mapInPandas(run, "id bigint, grams binary")
+    return rows.mapInPandas(run, "id bigint, grams binary" + ", key binary" * keyed)
 
 
 def _searches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,18 +257,11 @@ def _lists(classes: DataFrame) -> DataFrame:
     return short.unionByName(long.join(heads, "h")).select("h", "rep", "n", "q")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Texts of fewer than n words have their whole sequence as one n-gram; null and blank texts have none
-    and link with nothing. A row with a null id takes part through rows of equal text that have one;
-    else it is alone and its component_id is null. Rows that repeat an id are one document with several
-    texts. An empty table gives an empty result.
-    """
-    docs = text_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (key, rep, copies, component_id) of each class of equal words."""
     signed = checkpointed(_signed(docs, frequent_ngrams(docs, n), n))
     some = signed.filter("n_shingles > 0")
-    held = checkpointed(some.groupBy("key").agg(F.min("doc_id").alias("rep")))
+    held = checkpointed(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     first = held.filter("rep is not null").select(F.col("rep").alias("doc_id"), "key")
     classes = some.join(first, ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "light", "bits")
     live = checkpointed(_lists(classes))
@@ -287,15 +287,113 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = _verified(docs, second, n)
     linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = components(linked).withColumnRenamed("node", "rep")
-    by_key = held.join(final, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return signed, held.join(final, "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop("component")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return text_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _placed(signed: DataFrame, by_key: DataFrame) -> DataFrame:
+    """The rows of ``signed`` with what is known of their class; blank texts have no class."""
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"))
-    out = rows.join(by_key, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(by_key, "key", "left").withColumn("component_id", own)
+
+
+def _met(pairs: bool):
+    """Rows sorted by (component, i, j): the members of two blocks, or of one block where i = j."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+
+        def links() -> pd.DataFrame:
+            _, i, j = at
+            keys = list(held)
+            blocks, copies, sets = zip(*held.values(), strict=True)
+            sizes, block, weight = np.array([len(x) for x in sets]), np.array(blocks), np.array(copies)
+            total, out = np.zeros(len(keys), np.int64), []
+            for q in np.flatnonzero(block == i).tolist():
+                other = (block == j) & (5 * np.minimum(sizes, sizes[q]) >= 4 * np.maximum(sizes, sizes[q]))
+                if i == j:
+                    other[: q + 1] = False
+                other = np.flatnonzero(other)
+                if len(other):
+                    found = other[search(sets[q], [sets[m] for m in other.tolist()])]
+                    total[found] += weight[q]
+                    total[q] += weight[found].sum()
+                    if pairs:
+                        out += [(min(keys[q], keys[m]), max(keys[q], keys[m])) for m in found.tolist()]
+            if pairs:
+                return pd.DataFrame(out, columns=["a", "b"])
+            some = np.flatnonzero(total).tolist()
+            return pd.DataFrame({"key": [keys[m] for m in some], "n": total[some]})
+
+        for batch in batches:
+            for component, i, j, block, key, copies, grams in batch.itertuples(index=False):
+                if (component, i, j) != at:
+                    if held:
+                        yield links()
+                    at, held = (component, i, j), {}
+                held[key] = block, copies, np.frombuffer(grams, np.uint64)  # equal rows of an id come once
+        if held:
+            yield links()
+
+    return run
+
+
+def _links(docs: DataFrame, signed: DataFrame, by_key: DataFrame, n: int, pairs: bool = False) -> DataFrame:
+    """Of each class with links (key, n): the rows of the classes that it links with; or all ``pairs`` (a, b) of keys."""
+    size = signed.select("key", "n_shingles").groupBy("key").agg(F.first("n_shingles").alias("size"))
+    members = by_key.filter("rep is not null")
+    several = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes")
+    members = checkpointed(members.join(several, "component_id").join(size, "key"))
+    blocks = members.groupBy("component_id").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    members = members.join(blocks, "component_id").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    sets = _sets(docs, members.select(F.col("rep").alias("id")), n, keyed=True).withColumnRenamed("id", "rep")
+    met = members.join(sets, ["rep", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("component_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "grams")
+    met = met.repartition("component_id", "i", "j").sortWithinPartitions("component_id", "i", "j")
+    if pairs:
+        return met.mapInPandas(_met(True), "a binary, b binary")
+    return met.mapInPandas(_met(False), "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, n_links.
+
+    ``n_links`` is the number of other rows whose text has similarity 0.8 or more, copies included.
+    Texts of fewer than n words have their whole sequence as one n-gram; null and blank texts have none
+    and link with nothing. A row with a null id takes part through rows of equal text that have one;
+    else it is alone, its component_id is null and it has no links. Rows that repeat an id are one
+    document with several texts. An empty table gives an empty result.
+    """
+    docs = _texts(docs, id_col, text_col)
+    signed, by_key = _grouped(docs, n)
+    by_key = checkpointed(by_key)
+    counted = by_key.join(_links(docs, signed, by_key, n), "key", "left")
+    counted = counted.select("key", "component_id", F.when(F.col("rep").isNotNull(), F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return _placed(signed, counted).select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (class_a, class_b) of all linked classes of equal words, and (doc_id, class) of every row.
+
+    Each pair comes once, the smaller class first. Rows of one class link with each other. Blank texts
+    have no class; classes of rows without an id link with none.
+    """
+    docs = _texts(docs, id_col, text_col)
+    signed, by_key = _grouped(docs, n)
+    by_key = checkpointed(by_key)
+    pairs = _links(docs, signed, by_key, n, pairs=True)
+    members = signed.select("doc_id", F.when(F.col("n_shingles") > 0, F.lower(F.hex("key"))).alias("class"))
+    return pairs.select(F.lower(F.hex("a")).alias("class_a"), F.lower(F.hex("b")).alias("class_b")), members
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold their component, with all their columns. Rows without an id stay."""
-    gone = checkpointed(near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    placed = _placed(*_grouped(_texts(docs, id_col, text_col), N))
+    gone = checkpointed(placed.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     own = F.col(id_col).cast("bigint")
     # Rows that the sketch tells apart from all dropped ones stay without being shuffled.
     touched = F.coalesce(within(F.xxhash64(own), sketch_of(gone, F.xxhash64("_gone"))), F.lit(False))
