@@ -424,6 +424,42 @@ def test_lexicon_errors():
     assert [match(w) for w in ("clown", "clowm", "clwn", "cloown", "clow", "clowns", "klown", "clwm", "oaf", "oag", "vermin", "verbin", "ver")] == [0, 1, 1, 1, 1, 1, None, None, 0, None, 0, None, None]
 
 
+def test_lexicon_errors_everywhere():
+    """Against a search of all words within one edit or swap."""
+    words, stems = {"clown": 2.0, "vermin": 3.0, "vermouth": 1.0, "oaf": 1.0, "tartan": 1.0}, {"verm": 3.0, "grumb": 2.5}
+    lex = toxicity.Lexicon(words, stems, everywhere=True)
+
+    def edits(w):
+        cut = [(w[:k], w[k:]) for k in range(len(w) + 1)]
+        letters = "abegklmnortuvwx"
+        return {a + b[1:] for a, b in cut if b} | {a + b[1] + b[0] + b[2:] for a, b in cut if len(b) > 1} | {a + c + b[1:] for a, b in cut if b for c in letters} | {a + c + b for a, b in cut for c in letters}
+
+    fuzzy = set().union(*(edits(w) for w in words if len(w) >= toxicity.LEAST_FUZZY))
+    beginnings = edits("grumb")
+
+    def want(w):
+        if w in words or any(w.startswith(s) for s in stems):
+            return 0
+        return 1 if w in fuzzy or any(w.startswith(b) for b in beginnings) else None
+
+    rng = random.Random(3)
+    tried = set(words) | fuzzy | {b + "le" for b in beginnings} | {e for w in rng.sample(sorted(fuzzy), 60) for e in edits(w)}
+    tried |= {"klown", "verbin", "lcown", "clonw", "grubmle", "xrumbler", "oag", "very"}
+    for w in tried:
+        assert (lex.match(w) or (0, None))[1] == want(w), w
+    assert [want(w) for w in ("klown", "verbin", "lcown", "grubmle", "oag", "very")] == [1, 1, 1, 1, None, None]
+
+
+def test_learned_lexicon_keeps_words_under_stems(spark):
+    clean = [(i, f"calm plain words number{i} here", 0) for i in range(200)]
+    own = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    bad = ["verminous", "verminate", "vermined"]
+    toxic = [(900 + i, f"a{own(i)} {bad[i % 3]} words", 1) for i in range(180)]
+    lex = toxicity.learn_lexicon(spark.createDataFrame(clean + toxic, "doc_id long, text string, label int"))
+    assert lex.stems and {"verminous", "verminate", "vermined"} <= set(lex.words)
+    assert [lex.match(w)[1] for w in ("verminous", "evrminous", "werminous", "vrminate")] == [0, 1, 1, 1]
+
+
 def test_other_columns_may_clash(spark):
     names = "doc_id", "text", "source", "norm", "h", "len", "rid", "k1", "rep", "w", "lines", "n", "score", "sha", "key", "range"
     row = (1, "some text of words\nsome text of words", "a", *range(len(names) - 3))

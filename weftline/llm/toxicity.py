@@ -4,8 +4,9 @@
    log-odds. A term counts once for each different word that stands before it, so that copies of one
    text do not make all its words look telling.
 2. The lexicon is a trie. Its intersection with Levenshtein automata, one per allowed number of errors,
-   is a nondeterministic automaton over (trie node, errors); it is made deterministic lazily, state by
-   state, as words arrive, and soon dies on most words.
+   is a nondeterministic automaton over (trie node, errors, letter awaited after a swap); it is made
+   deterministic lazily, state by state, as words arrive, and soon dies on most words. An error is a
+   letter too many, too few or another one, or a swap of neighbours, anywhere in the word or stem.
 3. Each hit is weighed in its window of words: quotation marks around it or words of report and
    mention nearby count it as quoted rather than meant.
 4. Four numbers of a text (weight of exact hits, misspelled hits, quoted hits, share of its words) go
@@ -35,7 +36,7 @@ MOST_LABELLED = 4000
 MOST_TERMS = 2000
 #: Beginnings of words are terms too, between these lengths.
 STEM_FROM, STEM_TO = 4, 7
-#: Words of at least so many letters may have an error.
+#: Words and stems of at least so many letters may have an error.
 LEAST_FUZZY = 5
 WINDOW = 6
 THRESHOLD = 0.7
@@ -56,10 +57,14 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Lexicon:
-    """Terms with weights; a stem matches every word that begins with it."""
+    """Terms with weights; a stem matches every word that begins with it.
+
+    ``everywhere``, as the learned lexicon has it: errors also in first letters and stems, and swaps as one.
+    """
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    everywhere: bool = False
 
     def __post_init__(self) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -74,7 +79,7 @@ class Lexicon:
                         self.accept.append(None)
                     node = self.children[node][c]
                 if self.accept[node] is None or stem:
-                    self.accept[node] = weight, stem, int(not stem and len(term) >= LEAST_FUZZY)
+                    self.accept[node] = weight, stem, int((self.everywhere or not stem) and len(term) >= LEAST_FUZZY)
         # Errors are followed only where an entry below allows them.
         self.allows = [a[2] if a else 0 for a in self.accept]
         for node in range(len(self.children) - 1, -1, -1):
@@ -84,11 +89,12 @@ class Lexicon:
         self.steps: list[dict[str, int]] = []
         self.ends: list[tuple[float, int] | None] = []
         self.stops: list[tuple[float, int] | None] = []
+        self.near: list[tuple[float, int] | None] = []
         self._state(frozenset())  # dead
-        self.start = self._state(frozenset({(0, 0)}))
+        self.start = self._state(frozenset({(0, 0, "")}))
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.stems)
+        return Lexicon, (self.words, self.stems, self.everywhere)
 
     def _state(self, reached: frozenset) -> int:
         k = self.states.get(reached)
@@ -96,57 +102,66 @@ class Lexicon:
             k = self.states[reached] = len(self.sets)
             self.sets.append(reached)
             self.steps.append({})
-            hits = [(self.accept[n][0], e) for n, e in reached if self.accept[n] and e <= self.accept[n][2]]
-            stops = [(self.accept[n][0], e) for n, e in reached if self.accept[n] and self.accept[n][1] and not e]
+            hits = [(self.accept[n][0], e) for n, e, wait in reached if not wait and self.accept[n] and e <= self.accept[n][2]]
+            stops = [(self.accept[n][0], e) for n, e, _ in reached if self.accept[n] and self.accept[n][1] and not e]
+            near = [(self.accept[n][0], e) for n, e, wait in reached if not wait and self.accept[n] and self.accept[n][1] and 0 < e <= self.accept[n][2]]
             best = lambda found: min(found, key=lambda x: (x[1], -x[0]), default=None)
             self.ends.append(best(hits))
             self.stops.append(best(stops))
+            self.near.append(best(near))
         return k
 
     def _step(self, state: int, c: str) -> int:
-        reached: set[tuple[int, int]] = set()
-        for node, errors in self.sets[state]:
+        reached: set[tuple[int, int, str]] = set()
+        for node, errors, wait in self.sets[state]:
+            if wait:  # the other letter of a swap
+                if c == wait:
+                    reached.add((node, errors, ""))
+                continue
             below = self.children[node]
             if c in below:
-                reached.add((below[c], errors))
-            # The first letter is always right.
-            if node and errors < self.allows[node]:
-                reached.add((node, errors + 1))  # a letter too many
-                for x in below.values():
+                reached.add((below[c], errors, ""))
+            if (node or self.everywhere) and errors < self.allows[node]:
+                reached.add((node, errors + 1, ""))  # a letter too many
+                for d, x in below.items():
                     if errors < self.allows[x]:
-                        reached.add((x, errors + 1))  # another letter
-                        if c in self.children[x]:
-                            reached.add((self.children[x][c], errors + 1))  # a letter left out
+                        reached.add((x, errors + 1, ""))  # another letter
+                        after = self.children[x].get(c)
+                        if after is not None:
+                            reached.add((after, errors + 1, ""))  # a letter left out
+                            if self.everywhere and c != d and errors < self.allows[after]:
+                                reached.add((after, errors + 1, d))  # two letters swapped
         # A last letter may be missing too; the node is then reached one letter early.
-        for node, errors in list(reached):
-            if errors < self.allows[node]:
-                reached |= {(x, errors + 1) for x in self.children[node].values() if errors < self.allows[x]}
-        least: dict[int, int] = {}
-        for node, errors in reached:
-            least[node] = min(errors, least.get(node, errors))
-        found = self._state(frozenset(least.items()))
+        for node, errors, wait in list(reached):
+            if not wait and errors < self.allows[node]:
+                reached |= {(x, errors + 1, "") for x in self.children[node].values() if errors < self.allows[x]}
+        least: dict[tuple[int, str], int] = {}
+        for node, errors, wait in reached:
+            least[node, wait] = min(errors, least.get((node, wait), errors))
+        found = self._state(frozenset((node, errors, wait) for (node, wait), errors in least.items()))
         if len(self.sets) > 200_000:  # start over rather than grow without bound
             sets = self.sets[found]
-            self.states, self.sets, self.steps, self.ends, self.stops = {}, [], [], [], []
+            self.states, self.sets, self.steps, self.ends, self.stops, self.near = {}, [], [], [], [], []
             self._state(frozenset())
-            self.start = self._state(frozenset({(0, 0)}))
+            self.start = self._state(frozenset({(0, 0, "")}))
             return self._state(sets)
         self.steps[state][c] = found
         return found
 
     def match(self, word: str) -> tuple[float, int] | None:
         """Weight and number of errors of the entry that the word is or resembles."""
-        state = self.start
+        state, near = self.start, None
         for c in word:
             after = self.steps[state].get(c)
             if after is None:
                 after = self._step(state, c)
             state = after
             if not state:
-                return None
+                return near
             if self.stops[state]:
                 return self.stops[state]
-        return self.ends[state]
+            near = near or self.near[state]  # unless it is matched without an error further on
+        return self.ends[state] or near
 
 
 @dataclass
@@ -248,8 +263,9 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_TERMS) -> Lexicon:
     # A stem is of use if several words begin with it; the shortest that is as pure as longer ones stays.
     stems = {t[:-1]: r["weight"] for t, r in rows.items() if t.endswith("*") and r["n"] >= 3 and r["weight"] >= 3}
     stems = {s: w for s, w in stems.items() if not any(s[:n] in stems for n in range(STEM_FROM, len(s)))}
-    words = {t: r["weight"] for t, r in rows.items() if not t.endswith("*") and not any(t[:n] in stems for n in range(STEM_FROM, len(t) + 1))}
-    return Lexicon(words, stems)
+    # Words that a stem covers stay, for what resembles them but not the stem.
+    words = {t: r["weight"] for t, r in rows.items() if not t.endswith("*")}
+    return Lexicon(words, stems, everywhere=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
