@@ -217,6 +217,23 @@ def test_cut_repeats(docs, rows, none, most, monkeypatch):
     assert substring.cut_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [substring.MOST_ANCHORS, 0])
+def test_texts_without_ids_keep_their_own_marks(spark, most, monkeypatch):
+    """A frequent anchor of one text without an id does not make those of others frequent."""
+    monkeypatch.setattr(substring, "OFTEN", 4)
+    block = lambda k: " ".join(f"b{k}x{i}" for i in range(35))
+    rows = [(None, block(0))] + [(100 + i, block(0)) for i in range(6)] + [(None, block(k)) for k in range(1, 13)] + [(k, block(k)) for k in range(1, 13)] + [(500, block(99))]
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for name, value in zip(before, ("false", "-1"), strict=True):  # so that rows meet in no task by chance
+            spark.conf.set(name, value)
+        got = substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most_anchors=most).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got) == Counter((i, 0 if i == 500 else 35) for i, _ in rows)
+
+
 def test_cut_lines(docs, rows, none):
     lines = []
     for i, t, *_ in rows:

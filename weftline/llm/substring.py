@@ -67,6 +67,11 @@ def _short(sha: str) -> int:
     return int.from_bytes(bytes.fromhex(sha[:16]), "big", signed=True)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """With ``of``, which tells the texts of one id apart in a join without reading their words."""
+    return docs.withColumn("of", F.xxhash64("text"))
+
+
 def _anchored(docs: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,9 +81,9 @@ def _anchored(docs: DataFrame, span: int) -> DataFrame:
                 sizes.append(len(words))
                 shas.append(_sha(words))
                 grams.append(anchors(text, span)[0])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": sizes, "sha": shas, "g": grams})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "of": batch["of"], "n_words": sizes, "sha": shas, "g": grams})
 
-    return docs.mapInPandas(run, "doc_id string, n_words bigint, sha string, g array<bigint>")
+    return _told_apart(docs).mapInPandas(run, "doc_id string, of bigint, n_words bigint, sha string, g array<bigint>")
 
 
 _CONTEXT = "doc_id string, sha bigint, at int, shard bigint, digest binary, n bigint, words binary"
@@ -108,8 +113,10 @@ def _contexts(docs: DataFrame, repeated: Repeated, span: int) -> DataFrame:
                     which = np.flatnonzero(repeated.holds(grams)).tolist()
                     often = repeated.frequent
                 else:
-                    which = sorted({m["j"] for m in row.marks if m["j"] < len(grams)})
-                    often = {int(grams[m["j"]]) for m in row.marks if m["often"] and m["j"] < len(grams)}
+                    # Marks hold for this text only where they name its own anchor.
+                    own = [m for m in row.marks if m["j"] < len(grams) and grams[m["j"]] == m["g"]]
+                    which = sorted({m["j"] for m in own})
+                    often = {m["g"] for m in own if m["often"]}
                 if not which:
                     continue
                 words = split_words(row.text)
@@ -271,13 +278,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
     docs = text_batches(docs).select(name.alias("doc_id"), F.col(text_col).alias("text"))
     signed = checkpointed(_anchored(docs, span))
-    spots = signed.select("doc_id", F.posexplode("g").alias("j", "g"))
+    spots = signed.select("doc_id", "of", F.posexplode("g").alias("j", "g"))
     repeated = checkpointed(spots.groupBy("g").count().filter("count > 1").select("g", (F.col("count") > OFTEN).alias("often")))
     found = Repeated.of(repeated, repeated.count(), most_anchors)
     rows = docs
     if found.bits is None:
-        marks = spots.join(repeated, "g").groupBy("doc_id").agg(F.collect_set(F.struct("j", "often")).alias("marks"))
-        rows = docs.join(checkpointed(marks), "doc_id")
+        marks = spots.join(repeated, "g").groupBy("doc_id", "of").agg(F.collect_set(F.struct("j", "g", "often")).alias("marks"))
+        rows = _told_apart(docs).join(checkpointed(marks), ["doc_id", "of"])
     contexts = checkpointed(_contexts(rows, found, span))
     counted = contexts.filter("doc_id is null").select("shard", "digest", "words", "n")
     counted = counted.repartition("shard").sortWithinPartitions("shard")
