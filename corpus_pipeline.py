@@ -37,8 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text and what they decode to, as digests."""
-    return sentencepiece_codec.encode_decode(docs)
+    """Ids of each text and what they decode to."""
+    return sentencepiece_codec.encode(docs)
 
 
 STAGES = [

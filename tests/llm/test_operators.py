@@ -371,6 +371,33 @@ def test_licences(spark, docs, none):
     assert ids(licenses.scan(docs)) == ids(docs) and licenses.scan(none).count() == 0
 
 
+def test_licence_spans(spark):
+    apache = licenses.TEMPLATES[3][1].split()
+    texts = [
+        "foo bar " + licenses.TEMPLATES[1][1] + " end",
+        " ".join(apache[:10] + ["noise"] * 3 + apache[10:]),
+        " ".join(["x"] + apache[:8] + ["far"] * 40 + apache[:9]),
+        "nothing here", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in licenses.scan(df).collect()}
+    n = len(licenses.TEMPLATES[1][1].split())
+    assert (1, "mit", 2, 2 + n, n) in got[0] and (3, "apache", 0, len(apache) + 3, len(apache)) in got[1]
+    assert [s[2:] for s in got[2] if s[0] == 3] == [(1, 9, 8), (49, 58, 9)] and got[3] == got[4] == []
+    own = licenses.scan(df, phrases={}, templates=(("mine", "nothing here foo bar"), ("yours", "foo bar " + " ".join(licenses.TEMPLATES[1][1].split()[:4])))).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in own}[0] == [(1, "yours", 0, 6, 6)] and all(r["n_base"] == 0 for r in own)
+
+
+def test_codec_keeps_ids_and_texts(spark, docs, rows):
+    import corpus_pipeline
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_path())
+    want = Counter((i, tuple(e := sp.encode(t or "", add_eos=True)), sp.decode(e)) for i, t, *_ in rows)
+    for out in (sentencepiece_codec.encode(docs), corpus_pipeline.STAGES[-1][1](spark, docs, "")):
+        assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in out.collect()) == want
+
+
 def test_suffix_automaton_matches():
     rng = random.Random(6)
     for _ in range(50):

@@ -164,11 +164,11 @@ class Scanner:
             starts, ends = known[np.r_[0, cuts]], known[np.r_[cuts - 1, len(known) - 1]] + 1
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
                 self._stream(ids, s, e, places, stretches)
-        cover, labels = self._chained(stretches)
+        cover, labels, spans = self._chained(stretches)
         base = {self.base_labels[k] for _, k in places}
         score = max([cover, *(0.5 for _ in places[:1])])
         first, last = (min(p for p, _ in places), max(p for p, _ in places)) if places else (None, None)
-        return len(w), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), round(min(1.0, score), 6)
+        return len(w), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), round(min(1.0, score), 6), spans
 
     def _stream(self, ids: np.ndarray, s: int, e: int, places: list, stretches: list) -> None:
         ending, before = self.ending, (0, 0)
@@ -188,21 +188,28 @@ class Scanner:
             if k >= self.n_phrases:
                 stretches.append((k - self.n_phrases, end - length, at + 1 - length, length))
 
-    def _chained(self, stretches: list) -> tuple[float, set[str]]:
-        """The largest share of a template that a chain covers, and the labels that reach LEAST_COVER."""
+    def _chained(self, stretches: list) -> tuple[float, set[str], list[tuple[int, str, int, int, int]]]:
+        """The largest share of a template that a chain covers, the labels that reach LEAST_COVER, and all
+        chains that no longer one goes on from: template, label, words of the text from and to, words covered."""
         most: dict[int, float] = {}
+        spans = []
         by: dict[int, list] = {}
         for k, start, at, n in stretches:
             by.setdefault(k, []).append((start, at, n))
         for k, found in by.items():
-            open_: list[tuple[int, int, int]] = []  # text end, template end, words covered
+            open_: list[tuple[int, int, int, int]] = []  # text end, template end, words covered, text start
+            chains: dict[tuple[int, int, int, int], None] = {}
             for start, at, n in sorted(found):
                 open_ = [x for x in open_ if x[0] + MOST_GAP >= start]
-                best = max((x for x in open_ if x[0] <= start and x[1] <= at), key=lambda x: x[2], default=(0, 0, 0))
-                open_.append((start + n, at + n, best[2] + n))
-                most[k] = max(most.get(k, 0.0), (best[2] + n) / self.sizes[k])
+                best = max((x for x in open_ if x[0] <= start and x[1] <= at), key=lambda x: x[2], default=None)
+                chains.pop(best, None)
+                covered = (best[2] if best else 0) + n
+                open_.append((start + n, at + n, covered, best[3] if best else start))
+                chains[open_[-1]] = None
+                most[k] = max(most.get(k, 0.0), covered / self.sizes[k])
+            spans += [(k, self.template_labels[k], first, end, covered) for end, _, covered, first in chains]
         labels = {self.template_labels[k] for k, x in most.items() if x >= LEAST_COVER}
-        return max(most.values(), default=0.0), labels
+        return max(most.values(), default=0.0), labels, sorted(spans, key=lambda x: (x[2], x[3], x[0], x[4]))
 
 
 @lru_cache(maxsize=1)
@@ -210,11 +217,14 @@ def default_scanner() -> Scanner:
     return Scanner()
 
 
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
+SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<template:int,label:string,start:int,end:int,covered:int>>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
+
+    ``spans`` are the chains of every template, by place: its number and label, the words of the text from
+    ``start`` up to but without ``end``, and how many of them it covers.
 
     ``score`` is the largest share of a template that a chain covers, and at least one half where a
     base phrase stands. Null and empty texts have no words, empty labels and score 0. Rows are
@@ -222,7 +232,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = default_scanner()
+        own = phrases is not None or templates is not None
+        scanner = Scanner(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates) if own else default_scanner()
         names = [c.split()[0] for c in SCHEMA.split(", ")][1:]
         for batch in batches:
             out = pd.DataFrame([scanner.scan(t) for t in batch["text"]], columns=names)

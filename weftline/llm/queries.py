@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, substring, toxicity
 from weftline.llm.common import documents, labels
@@ -43,7 +44,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir))
+    out = licenses.scan(documents(spark, sf_dir))
+    return out.select(*(c for c in out.columns if c != "spans"), F.size("spans").alias("n_spans"), F.sha2(F.to_json("spans"), 256).alias("spans_sha256"))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

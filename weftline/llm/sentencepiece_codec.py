@@ -16,7 +16,6 @@ instead.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -238,7 +237,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id bigint, ids string, decoded string"
 
 
 def default_path() -> str:
@@ -247,32 +246,33 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256.
-
-    A null text is an empty one, whose only id is the end id. Rows are independent, so ties and
-    repeated rows need no rule. An empty table gives an empty result. ``path`` names the model file,
-    which every node must have.
-    """
+def _coded(docs: DataFrame, path: str | None, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids, decoded): decimal ids joined by one space, and the text that they decode to."""
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = c.encode(text)
-                out.append(
-                    (
-                        None if pd.isna(doc) else int(doc),
-                        ids.count(" ") + 1,
-                        hashlib.sha256(ids.encode()).hexdigest(),
-                        hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest(),
-                    )
-                )
-            frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = [c.encode(text) for text in batch["text"]]
+            frame = pd.DataFrame({"doc_id": [None if pd.isna(x) else int(x) for x in batch["doc_id"]], "ids": ids, "decoded": [c.decode(x) for x in ids]})
             yield frame.astype({"doc_id": "Int64"})
         # The worker may go on to other stages.
         c.forget()
 
     return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, ids (array<int>, the end id last), decoded.
+
+    A null text is an empty one, whose only id is the end id. Rows are independent, so ties and
+    repeated rows need no rule. An empty table gives an empty result. ``path`` names the model file,
+    which every node must have.
+    """
+    return _coded(docs, path, id_col, text_col).select("doc_id", F.split("ids", " ").cast("array<int>").alias("ids"), "decoded")
+
+
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of what ``encode`` gives: doc_id, n_tokens, ids_sha256 (of the ids joined by one space), decoded_sha256."""
+    n = (F.length("ids") - F.length(F.replace(F.col("ids"), F.lit(" "), F.lit(""))) + 1).cast("long")
+    return _coded(docs, path, id_col, text_col).select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
