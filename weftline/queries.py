@@ -283,24 +283,24 @@ def jaro_winkler(spark, d):
 
 @query()
 def partial_ratio(spark, d):
-    return _joined(spark, d).select(*PAIR, F.round(S.partial_ratio_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_partial_ratio"))
+    return _joined(spark, d, X.MIN_SHARED_TOKENS).select(*PAIR, F.round(S.partial_ratio_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_partial_ratio"))
 
 
 @query()
 def phonetic_similarity(spark, d):
-    return _joined(spark, d).select(*PAIR, F.round(S.phonetic_similarity_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_phonetic_sim"))
+    return _joined(spark, d, X.MIN_SHARED_TOKENS).select(*PAIR, F.round(S.phonetic_similarity_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_phonetic_sim"))
 
 
 @query()
 def feature_matrix(spark, d):
     s1, s2, s3 = views.entities(spark, d, True)
-    return features.build_feature_matrix(blocking.token_overlap(s1, s2.unionByName(s3), 3), s1, s2, s3)
+    return features.build_feature_matrix(blocking.token_overlap(s1, s2.unionByName(s3)), s1, s2, s3)
 
 
 @query()
 def compact_feature_matrix(spark, d):
     s1, s2, s3 = views.entities(spark, d, True)
-    pairs = blocking.token_overlap(s1, s2.unionByName(s3), 3)
+    pairs = blocking.token_overlap(s1, s2.unionByName(s3))
     return retrieval.raw_pairs(pairs, s1, s2, s3).select(*PAIR, *features.compact_features("n1", "a1", "n2", "a2"))
 
 
@@ -494,7 +494,7 @@ def logistic_scores(spark, d):
 @query()
 def gbt_scores(spark, d):
     rows = _labeled(spark, d).persist()
-    model = models.train_boosted_trees(rows.filter("split = 'train'"), list(features.FEATURES), rounds=10)
+    model = models.train_boosted_trees(rows.filter("split = 'train'"), list(features.FEATURES))
     return models.score(model, rows).select(*PAIR, "label", "split", "match_probability")
 
 
