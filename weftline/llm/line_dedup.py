@@ -7,12 +7,14 @@ similarity of at least 0.8; lines are judged on the input, not on what is left.
 2. Words are ordered by rarity. Counts of all words go into a table of BUCKETS numbers, whatever the size
    of the vocabulary; words of one bucket share a rank and are ordered by hash. Any fixed order gives
    the same result, a rarer-first order just gives short lists.
-3. Two similar lines share a word of their prefixes in this order. Prefix words are shuffled once. In a word's list each line is held against the earlier ones; far down
-   a list, against its first line alone unless sizes or bit signatures rule that one out. So a large
-   group of near copies costs one pair per line. Sizes, signatures and, from the words that two
-   prefixes share and the places where they end, the overlap that is still possible filter pairs.
-4. Jaccard is verified on the words themselves. Lines that were held against a first line alone, and
-   fail there, are joined with all earlier lines of their lists as well, so that no match is lost.
+3. Two similar lines share a word of their prefixes in this order. A posting is a prefix word with the
+   line's size, the word's position in it and bit signatures of the line.
+4. First round: in each list a line is held against the list's first line and the one before it, so that
+   a group of any size costs two pairs a posting. One earlier match settles a line.
+5. Second round: the lists are joined for lines that are not settled, under the length filter, the
+   positional filter (their first shared word leaves room for the overlap only if it stands early enough
+   in both) and the signatures. No pair that could match is left out, so no match is lost.
+6. Jaccard is verified on the words themselves in both rounds.
 
 All steps are DataFrame expressions.
 """
@@ -23,189 +25,165 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACES, WORD_GAP, as_array, checkpointed, one_bit, sketch_of, within
+from weftline.llm.common import SPACES, WORD_GAP, checkpointed, one_bit, sketch_of, within
 
 BUCKETS = 1 << 18
-#: A bucket that counts at most so many words has lists that are gathered whole; others are joined.
-SHORT = 1 << 10
-#: Behind so many lines of its list a line is held against the first one only.
-STAR = 32
-#: The lines of a longer list are dealt to several tasks by their keys.
+#: A list that may have more postings than this, and than four times the mean, is dealt to several tasks
+#: in the first round.
 PER_TASK = 1 << 14
-#: Lines with fewer or more words have a signature for each half of the hashes.
-ONE_SIGNATURE = (9, 64)
+#: Lines of up to so many words have a signature of one number, or of two; others of four.
+ONE, TWO = 64, 200
 _LAST = (1 << 63) - 1
+_NEVER = 1 << 30
+_SIGNATURE = ("s0", "s1", "s2", "s3")
+_ENTRY = ("doc", "at", "pos", *_SIGNATURE)
+
+
+def _worded(line: Column) -> Column:
+    return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
 
 
 def _whole(docs: DataFrame) -> DataFrame:
     """(doc, sha, keys): of each text the places and keys of its lines with a word."""
-    trimmed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), F.btrim(x, F.lit(SPACES)).alias("line")))
+    split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("line")))
     keys = F.transform(
-        F.filter(trimmed, lambda x: F.length(x["line"]) > 0),
+        F.filter(split, lambda x: _worded(x["line"])),
         lambda x: F.struct(x["ln"].alias("ln"), F.xxhash64(x["line"]).alias("k1"), F.xxhash64(F.lit("#"), x["line"]).alias("k2")),
     )
     return docs.select("doc", F.sha2("text", 256).alias("sha"), keys.alias("keys"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, ln, line) of the lines with a word; ``line`` without outer separators."""
-    rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return rows.withColumn("line", F.btrim("line", F.lit(SPACES))).filter(F.length("line") > 0)
+    """(doc, ln, line) of the lines with a word."""
+    return docs.select("doc", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(_worded(F.col("line")))
 
 
 def _words(line: str) -> Column:
-    return F.split(line, WORD_GAP)
-
-
-def _keyed(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit("#"), F.col("line"))})
+    return F.array_remove(F.split(line, WORD_GAP), "")
 
 
-def _rank_of(count: Column) -> Column:
-    return F.floor(200 * F.log2(count + 1)).cast("int")
-
-
-def _rarity(docs: DataFrame) -> DataFrame:
-    """(b, rank): for each bucket, 200 times the logarithm of the count of its words."""
-    words = docs.select(F.explode(_words("text")).alias("w")).filter("w <> ''")
+def _ranks(docs: DataFrame) -> list[int]:
+    """For each bucket, 200 times the logarithm of the count of its words; BUCKETS numbers."""
+    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]")).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    return checkpointed(every.join(counts, "b", "left").select("b", F.coalesce(_rank_of(F.col("n")), F.lit(0)).alias("rank")))
+    out = [0] * BUCKETS
+    for row in counts.select("b", F.floor(200 * F.log2(F.col("n") + 1)).cast("int").alias("rank")).toLocalIterator():
+        out[row["b"]] = row["rank"]
+    return out
 
 
-def _classes(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(doc, ln, n, sig, more, prefix): one row per distinct line, at its earliest place."""
-    # Higher-order functions take no subquery; as a column it is folded into the expression again.
-    coded = _keyed(lines).withColumn("ranks", as_array(ranks, "b", "rank"))
-    coded = coded.select("k1", "k2", "ranks", F.struct("doc", "ln").alias("first"), F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("h"))
-    rank = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 50)
-    coded = coded.withColumn("v", F.sort_array(F.array_distinct(F.transform("h", lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 14)))))).drop("h", "ranks")
+def _classes(lines: DataFrame, ranks: list[int]) -> DataFrame:
+    """(doc, ln, n, s0 .. s3, prefix): one row per distinct line, at its earliest place."""
+    # A literal: as a subquery the table would be copied into every row.
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
     none = F.lit(0).cast("long")
-    half = lambda x: F.shiftright(x, 12).bitwiseAND(1)
+    rank = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), none), 50)
+    hashes = F.transform(_words("line"), lambda w: F.xxhash64(w))
+    v = F.sort_array(F.array_distinct(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 14)))))
+    coded = lines.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("#"), F.col("line")).alias("k2"), F.struct("doc", "ln").alias("first"), v.alias("v"))
+    n = F.size("v")
     signed = lambda of: F.aggregate("v", none, lambda a, x: a.bitwiseXOR(of(x)))
-    halves = [signed(lambda x, k=k: F.when(half(x) == k, one_bit(x)).otherwise(none)) for k in (0, 1)]
-    whole = F.size("v").between(*ONE_SIGNATURE)
+    part = lambda bits, k: signed(lambda x: F.when(F.shiftright(x, 12).bitwiseAND(bits) == k, one_bit(x)).otherwise(none))
     coded = coded.select(
         "k1",
         "k2",
         "first",
-        F.size("v").alias("n"),
-        F.when(whole, signed(one_bit)).otherwise(halves[0]).alias("sig"),
-        F.when(whole, none).otherwise(halves[1]).alias("more"),
-        F.slice("v", 1, F.size("v") - F.ceil(F.size("v") * 4 / 5).cast("int") + 1).alias("prefix"),
+        n.alias("n"),
+        F.when(n <= ONE, signed(one_bit)).when(n <= TWO, part(2, 0)).otherwise(part(3, 0)).alias("s0"),
+        F.when(n <= TWO, none).otherwise(part(3, 1)).alias("s1"),
+        F.when(n <= ONE, none).when(n <= TWO, part(2, 2)).otherwise(part(3, 2)).alias("s2"),
+        F.when(n <= TWO, none).otherwise(part(3, 3)).alias("s3"),
+        F.slice("v", 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"),
     )
-    rows = coded.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.first(F.struct("n", "sig", "more", "prefix")).alias("x"))
+    rows = coded.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.first(F.struct("n", *_SIGNATURE, "prefix")).alias("x"))
     return rows.select("first.doc", "first.ln", "x.*")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(t, doc, at, sig, more): a word of a line's prefix; ``at`` holds the line's place and its size."""
+def _postings(classes: DataFrame, *more: str) -> DataFrame:
+    """(t, doc, at, pos, s0 .. s3): a word of a line's prefix; ``at`` holds the line's place and its size."""
     at = F.shiftleft(F.col("ln").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    return classes.select(F.explode("prefix").alias("t"), "doc", at.alias("at"), "sig", "more")
+    return classes.select(F.posexplode("prefix").alias("pos", "t"), "doc", at.alias("at"), *_SIGNATURE, *more)
 
 
-def _size(a: Column) -> Column:
-    return a["at"].bitwiseAND((1 << 32) - 1)
+def _size(a: str) -> Column:
+    return F.col(f"{a}.at").bitwiseAND((1 << 32) - 1)
 
 
-def _near(a: Column, b: Column, slack: int = 1) -> Column:
-    """Whether sizes and signatures leave room for similarity 0.8, with ``slack`` times that room."""
-    n, m = _size(a), _size(b)
-    most = n + m - 2 * F.ceil((n + m) * 4 / 9)
-    # Where one line has a single signature, the halves of the other make one as well.
-    apart = F.bit_count(a["sig"].bitwiseXOR(b["sig"])) + F.bit_count(a["more"].bitwiseXOR(b["more"]))
-    joint = F.bit_count(a["sig"].bitwiseXOR(a["more"]).bitwiseXOR(b["sig"].bitwiseXOR(b["more"])))
-    differ = F.when(n.between(*ONE_SIGNATURE) | m.between(*ONE_SIGNATURE), joint).otherwise(apart)
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (slack * differ <= most)
+def _overlap(a: str, b: str) -> Column:
+    """The least overlap of similar sets: 4/9 of the sum of their sizes."""
+    return F.ceil((_size(a) + _size(b)) * 4 / 9)
 
 
-_ENTRY = ("doc", "at", "sig", "more")
+def _near(a: str, b: str) -> Column:
+    """Whether sizes and signatures leave room for similarity 0.8.
 
+    Sets differ in no more words than signatures in bits; a signature of several numbers is folded where
+    the other has fewer.
+    """
+    n, m = _size(a), _size(b)
+    x = [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in _SIGNATURE]
+    low, high = x[0].bitwiseXOR(x[1]), x[2].bitwiseXOR(x[3])
+    least = F.least(n, m)
+    differ = F.when(least <= ONE, F.bit_count(low.bitwiseXOR(high))).when(least <= TWO, F.bit_count(low) + F.bit_count(high)).otherwise(sum((F.bit_count(y) for y in x), F.lit(0)))
+    return (5 * least >= 4 * F.greatest(n, m)) & (differ <= n + m - 2 * _overlap(a, b))
 
-def _earlier(b: str, a: str) -> Column:
-    return F.struct(f"{b}.doc", f"{b}.at") < F.struct(f"{a}.doc", f"{a}.at")
 
+def _early(a: str, i: str, b: str, j: str) -> Column:
+    """Whether the first word that two lines share, at ``i`` and ``j``, leaves room for the overlap."""
+    return 1 + F.least(_size(a) - 1 - F.col(i), _size(b) - 1 - F.col(j)) >= _overlap(a, b)
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """From (a, b, star), a row per list, to (doc, ln, doc2, ln2, star).
 
-    All words that two lines share up to the end of the prefix that ends first are in both prefixes; of
-    the others that line has at most ceil(0.8 n) - 1. So the number of lists that a pair shares tells
-    whether it can be similar. ``star`` pairs share lists that are not counted, and are kept.
-    """
+def _ids(pairs: DataFrame) -> DataFrame:
+    """From (a, b) to the distinct (doc, ln, doc2, ln2)."""
     ln = lambda x: F.shiftright(f"{x}.at", 32).cast("int")
-    rows = rows.select(
-        F.col("a.doc").alias("doc"), ln("a").alias("ln"), F.col("b.doc").alias("doc2"), ln("b").alias("ln2"), "star", _size(F.col("a")).alias("n"), _size(F.col("b")).alias("m")
-    )
-    rows = rows.groupBy("doc", "ln", "doc2", "ln2").agg(F.max("star").alias("star"), F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
-    enough = F.col("shared") >= F.ceil((F.col("n") + F.col("m")) * 4 / 9) - F.ceil(F.greatest("n", "m") * 4 / 5) + 1
-    return rows.filter(F.col("star") | enough).select("doc", "ln", "doc2", "ln2", "star")
-
-
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(doc, ln, doc2, ln2, star): the first line may be a later match of the second.
-
-    ``star`` marks pairs with the first line of a list, in whose stead no others of the list are given.
-    """
-    rows = _postings(classes).select("t", F.struct(*_ENTRY).alias("a"))
-    count = F.pow(F.lit(2.0), (F.shiftright("t", 50) + 1) / 200)
-    # The bucket's count bounds the list, so that what is gathered is bounded too.
-    # Without the exchange here, each row would be sent as a list of its own.
-    short = rows.filter(count <= SHORT).repartition("t").groupBy("t").agg(F.sort_array(F.collect_list("a")).alias("l")).filter(F.size("l") > 1)
-    short = short.select("l", F.posexplode("l").alias("i", "a")).filter("i > 0")
-    led = (F.col("i") > STAR) & _near(F.col("a"), F.get("l", F.lit(0)), 2)
-    short = short.withColumn("star", led)
-    short = short.select("a", "star", F.explode(F.when(F.col("star"), F.slice("l", 1, 1)).otherwise(F.slice("l", 1, F.col("i")))).alias("b"))
-    short = short.filter(F.col("star") | _near(F.col("a"), F.col("b")))
-    # Longer lists have several first lines, and are joined.
-    order = W.partitionBy("t", "part").orderBy("a.doc", "a.at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    long = rows.filter(count > SHORT).withColumn("part", F.pmod(F.xxhash64("a.doc", "a.at"), F.ceil(count / PER_TASK)))
-    long = long.withColumn("head", F.first("a").over(order))
-    long = long.select("t", "a", F.when(_earlier("head", "a") & _near(F.col("a"), F.col("head"), 2), F.col("head")).alias("head"))
-    stars = long.filter("head is not null").select("a", F.lit(True).alias("star"), F.col("head").alias("b"))
-    others = long.select(F.col("t").alias("t2"), F.col("a").alias("b"))
-    on = (F.col("t") == F.col("t2")) & _earlier("b", "a") & _near(F.col("a"), F.col("b"))
-    rest = long.filter("head is null").join(others, on).select("a", F.lit(False).alias("star"), "b")
-    return _pairs(short.select("a", "star", "b").unionByName(stars).unionByName(rest))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, ln, late, failed): whether a pair of the line has Jaccard 0.8 on the words themselves, and
-    whether a pair that stood for others has not."""
+    return checkpointed(pairs.select(F.col("a.doc").alias("doc"), ln("a").alias("ln"), F.col("b.doc").alias("doc2"), ln("b").alias("ln2")).distinct())
+
+
+def _first_pairs(classes: DataFrame, ranks: list[int]) -> DataFrame:
+    """Each line of a list with the list's first line and with the one before it, where they may match."""
+    counts = [2 ** ((r + 1) / 200) for r in ranks]
+    most = max(PER_TASK, 4 * sum(counts) / BUCKETS)
+    # The bucket's count bounds the list.
+    part = F.pmod(F.xxhash64("doc", "at"), F.ceil(F.pow(F.lit(2.0), (F.shiftright("t", 50) + 1) / 200) / most))
+    rows = _postings(classes).withColumn("part", part).select("t", "part", F.struct(*_ENTRY).alias("a"))
+    own = W.partitionBy("t", "part").orderBy("a.doc", "a.at")
+    rows = rows.select("a", F.first("a").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head"), F.lag("a").over(own).alias("last"))
+    rows = rows.filter("last is not null").select("a", F.explode(F.array_distinct(F.array("head", "last"))).alias("b"))
+    return _ids(rows.filter(_near("a", "b") & _early("a", "a.pos", "b", "b.pos")))
+
+
+def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """All pairs that may match of a line that is not settled and an earlier one."""
+    mark = within(F.xxhash64("doc", "ln"), sketch_of(settled, F.xxhash64("doc", "ln")))
+    some = classes.filter(mark).join(settled.withColumn("s", F.lit(True)), ["doc", "ln"], "left")
+    classes = classes.filter(~mark).withColumn("s", F.lit(False)).unionByName(some.withColumn("s", F.coalesce("s", F.lit(False))))
+    # A settled line asks at a position that leaves no room. Both sides are the same rows, so that they
+    # are shuffled once; a list of very many lines is split where the join is skewed.
+    rows = _postings(classes, "s").select("t", F.struct(*_ENTRY, F.when(F.col("s"), _NEVER).otherwise(F.col("pos")).alias("asks")).alias("x"))
+    a, b = rows.select("t", F.col("x").alias("a")), rows.select(F.col("t").alias("t2"), F.col("x").alias("b"))
+    earlier = F.struct("b.doc", "b.at") < F.struct("a.doc", "a.at")
+    return _ids(a.join(b, (F.col("t") == F.col("t2")) & earlier & _early("a", "a.asks", "b", "b.pos") & _near("a", "b")))
+
+
+def _matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, ln) of the lines with a pair that has Jaccard 0.8 on the words themselves."""
     ids = pairs.select(F.explode(F.array(F.struct("doc", "ln"), F.struct(F.col("doc2").alias("doc"), F.col("ln2").alias("ln")))).alias("p")).select("p.*").distinct()
     ids = checkpointed(ids)
     held = docs.filter(within(F.xxhash64("doc"), sketch_of(ids, F.xxhash64("doc"))))
     texts = _lines(held).filter(within(F.xxhash64("doc", "ln"), sketch_of(ids, F.xxhash64("doc", "ln")))).join(ids, ["doc", "ln"], "left_semi")
-    texts = checkpointed(texts.groupBy("doc", "ln").agg(F.first("line").alias("line")))
-    other = texts.select(F.col("doc").alias("doc2"), F.col("ln").alias("ln2"), F.col("line").alias("other"))
+    texts = checkpointed(texts.groupBy("doc", "ln").agg(F.array_distinct(_words(F.first("line"))).alias("x")))
+    other = texts.select(F.col("doc").alias("doc2"), F.col("ln").alias("ln2"), F.col("x").alias("y"))
     both = pairs.join(texts, ["doc", "ln"]).join(other, ["doc2", "ln2"])
-    both = both.withColumns({"x": F.array_distinct(_words("line")), "y": F.array_distinct(_words("other"))})
     shared = F.size(F.array_intersect("x", "y"))
-    ok = 10 * shared >= 8 * (F.size("x") + F.size("y") - shared)
-    return checkpointed(both.select("doc", "ln", "star", ok.alias("ok")).groupBy("doc", "ln").agg(F.max("ok").alias("late"), F.max(F.col("star") & ~F.col("ok")).alias("failed")))
+    return checkpointed(both.filter(10 * shared >= 8 * (F.size("x") + F.size("y") - shared)).select("doc", "ln").distinct())
 
 
 def _late_lines(docs: DataFrame) -> DataFrame:
     """(doc, ln) of the distinct lines, at their first place, that an earlier line matches."""
-    lines, ranks = _lines(docs), _rarity(docs)
-    found = _verified(docs, checkpointed(_candidates(_classes(lines, ranks))))
-    late = found.filter("late").select("doc", "ln")
-    # Where the first line of a list was held to be near and is not, all earlier lines count.
-    open_ = checkpointed(found.filter("failed and not late").select("doc", "ln"))
-    if open_.first() is None:
-        return late
-    held = docs.filter(within(F.xxhash64("doc"), sketch_of(open_, F.xxhash64("doc"))))
-    some = checkpointed(_classes(_lines(held).join(open_, ["doc", "ln"], "left_semi"), ranks))
-    # The prefix words of these lines, by the part of their hash that t has.
-    own = F.lit((1 << 50) - 1)
-    words = some.select(F.explode("prefix").alias("t")).select(F.xxhash64(F.col("t").bitwiseAND(own)).alias("k"))
-    held_by = lambda w: F.exists(_words("line"), lambda x: within(F.xxhash64(F.shiftrightunsigned(F.xxhash64(x), 14)), w))
-    near = lines.withColumn("sketch", sketch_of(words, F.col("k"))).filter(held_by(F.col("sketch"))).drop("sketch")
-    a = _postings(some).select("t", F.struct(*_ENTRY).alias("a"))
-    b = _postings(_classes(near, ranks)).select(F.col("t").alias("t2"), F.struct(*_ENTRY).alias("b"))
-    on = (F.col("t") == F.col("t2")) & _earlier("b", "a") & _near(F.col("a"), F.col("b"))
-    more = _pairs(a.join(b, on).select("a", F.lit(False).alias("star"), "b"))
-    return late.unionByName(_verified(docs, checkpointed(more)).filter("late").select("doc", "ln"))
+    ranks = _ranks(docs)
+    classes = checkpointed(_classes(_lines(docs), ranks))
+    settled = _matches(docs, _first_pairs(classes, ranks))
+    return settled.unionByName(_matches(docs, _other_pairs(classes, settled)))
 
 
 def _to_remove(docs: DataFrame, whole: DataFrame) -> DataFrame:
