@@ -61,4 +61,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     with _setting(df.sparkSession, _CLEANUP, "true"):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # the setting holds for what is planned under it
