@@ -145,7 +145,7 @@ def _first_pairs(classes: DataFrame, ranks: list[int]) -> DataFrame:
     most = max(PER_TASK, 4 * sum(counts) / BUCKETS)
     # The bucket's count bounds the list.
     part = F.pmod(F.xxhash64("doc", "at"), F.ceil(F.pow(F.lit(2.0), (F.shiftright("t", 50) + 1) / 200) / most))
-    rows = _postings(classes).withColumn("part", part).select("t", "part", F.struct(*_ENTRY).alias("a"))
+    rows = _postings(classes).withColumn("part", part).repartition("t", "part").select("t", "part", F.struct(*_ENTRY).alias("a"))
     own = W.partitionBy("t", "part").orderBy("a.doc", "a.at")
     rows = rows.select("a", F.first("a").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head"), F.lag("a").over(own).alias("last"))
     rows = rows.filter("last is not null").select("a", F.explode(F.array_distinct(F.array("head", "last"))).alias("b"))
@@ -159,10 +159,9 @@ def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
     classes = classes.filter(~mark).withColumn("s", F.lit(False)).unionByName(some.withColumn("s", F.coalesce("s", F.lit(False))))
     # A settled line asks at a position that leaves no room. Both sides are the same rows, so that they
     # are shuffled once; a list of very many lines is split where the join is skewed.
-    rows = _postings(classes, "s").select("t", F.struct(*_ENTRY, F.when(F.col("s"), _NEVER).otherwise(F.col("pos")).alias("asks")).alias("x"))
-    a, b = rows.select("t", F.col("x").alias("a")), rows.select(F.col("t").alias("t2"), F.col("x").alias("b"))
+    rows = _postings(classes, "s").withColumn("asks", F.when(F.col("s"), _NEVER).otherwise(F.col("pos"))).drop("s")
     earlier = F.struct("b.doc", "b.at") < F.struct("a.doc", "a.at")
-    return _ids(a.join(b, (F.col("t") == F.col("t2")) & earlier & _early("a", "a.asks", "b", "b.pos") & _near("a", "b")))
+    return _ids(rows.alias("a").join(rows.alias("b"), (F.col("a.t") == F.col("b.t")) & earlier & _early("a", "a.asks", "b", "b.pos") & _near("a", "b")))
 
 
 def _matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
