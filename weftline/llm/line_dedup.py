@@ -128,9 +128,9 @@ def _near(a: str, b: str) -> Column:
     return (5 * least >= 4 * F.greatest(n, m)) & (differ <= n + m - 2 * _overlap(a, b))
 
 
-def _early(a: str, i: str, b: str, j: str) -> Column:
+def _early(a: str, i: Column, b: str, j: Column) -> Column:
     """Whether the first word that two lines share, at ``i`` and ``j``, leaves room for the overlap."""
-    return 1 + F.least(_size(a) - 1 - F.col(i), _size(b) - 1 - F.col(j)) >= _overlap(a, b)
+    return 1 + F.least(_size(a) - 1 - i, _size(b) - 1 - j) >= _overlap(a, b)
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _first_pairs(classes: DataFrame, ranks: list[int]) -> DataFrame:
     own = W.partitionBy("t", "part").orderBy("a.doc", "a.at")
     rows = rows.select("a", F.first("a").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head"), F.lag("a").over(own).alias("last"))
     rows = rows.filter("last is not null").select("a", F.explode(F.array_distinct(F.array("head", "last"))).alias("b"))
-    return _ids(rows.filter(_near("a", "b") & _early("a", "a.pos", "b", "b.pos")))
+    return _ids(rows.filter(_near("a", "b") & _early("a", F.col("a.pos"), "b", F.col("b.pos"))))
 
 
 def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
@@ -157,11 +157,12 @@ def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
     mark = within(F.xxhash64("doc", "ln"), sketch_of(settled, F.xxhash64("doc", "ln")))
     some = classes.filter(mark).join(settled.withColumn("s", F.lit(True)), ["doc", "ln"], "left")
     classes = classes.filter(~mark).withColumn("s", F.lit(False)).unionByName(some.withColumn("s", F.coalesce("s", F.lit(False))))
-    # A settled line asks at a position that leaves no room. Both sides are the same rows, so that they
-    # are shuffled once; a list of very many lines is split where the join is skewed.
-    rows = _postings(classes, "s").withColumn("asks", F.when(F.col("s"), _NEVER).otherwise(F.col("pos"))).drop("s")
+    # A settled line asks at a position that leaves no room. Both sides use the same columns, so that
+    # they are shuffled once; a list of very many lines is split where the join is skewed.
+    rows = _postings(classes, "s").withColumn("pos", F.col("pos").bitwiseOR(F.when(F.col("s"), _NEVER).otherwise(0))).drop("s")
     earlier = F.struct("b.doc", "b.at") < F.struct("a.doc", "a.at")
-    return _ids(rows.alias("a").join(rows.alias("b"), (F.col("a.t") == F.col("b.t")) & earlier & _early("a", "a.asks", "b", "b.pos") & _near("a", "b")))
+    early = _early("a", F.col("a.pos"), "b", F.col("b.pos").bitwiseAND(_NEVER - 1))
+    return _ids(rows.alias("a").join(rows.alias("b"), (F.col("a.t") == F.col("b.t")) & earlier & early & _near("a", "b")))
 
 
 def _matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
