@@ -32,8 +32,6 @@ from weftline.llm.common import checkpointed, text_batches
 
 #: Bound of the labelled sample, per class.
 MOST_LABELLED = 4000
-#: Bound of the lexicon.
-MOST_TERMS = 2000
 #: Beginnings of words are terms too, between these lengths.
 STEM_FROM, STEM_TO = 4, 7
 #: Words and stems of at least so many letters may have an error.
@@ -221,8 +219,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
     parts = [known.filter(F.col("label") == k).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most) for k in (0, 1)]
     # Two bounded parts: small enough to send to every task whatever the size of the tables.
-    chosen = F.broadcast(parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "label"))
-    return docs.join(chosen, docs[id_col] == F.col("_id")).select(F.col("_id").alias("doc_id"), F.col(text_col).alias("text"), "label")
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
 
 
 def _terms(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,8 +237,11 @@ def _terms(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["term", "before", "word", "label"])
 
 
-def learn_lexicon(sample: DataFrame, most: int = MOST_TERMS) -> Lexicon:
-    """Terms whose G statistic for the toxic class is beyond what chance gives among all terms."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """Terms whose G statistic for the toxic class is beyond what chance gives among all terms.
+
+    All of them are kept; the bounded sample bounds their number.
+    """
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -258,7 +259,7 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_TERMS) -> Lexicon:
     part = lambda x, n: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (both * n / (n0 + n1)))).otherwise(0.0)
     g = 2 * (part("t", n1) + part("c", n0))
     kept = counted.filter("t >= 3").select("term", "t", "c", "n", weight.alias("weight"), g.alias("g"))
-    kept = kept.filter((F.col("g") >= 18) & (F.col("weight") >= 1.5)).orderBy(F.desc("g"), "term").limit(most)
+    kept = kept.filter((F.col("g") >= 18) & (F.col("weight") >= 1.5)).orderBy("term")
     rows = {r["term"]: r for r in kept.collect()}
     # A stem is of use if several words begin with it; the shortest that is as pure as longer ones stays.
     stems = {t[:-1]: r["weight"] for t, r in rows.items() if t.endswith("*") and r["n"] >= 3 and r["weight"] >= 3}
@@ -309,7 +310,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names.
+
+    Null and empty texts have no hits and stay; rows that repeat are judged alike; an empty table gives
+    an empty result, and without labels of both classes all rows stay.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
 
     def run(texts: pd.Series) -> pd.Series:
