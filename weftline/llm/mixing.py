@@ -3,7 +3,7 @@
 Every document gets a pseudo-random key from its id. Keys order the documents of a source; the key
 space is cut into equal ranges, the sizes of each (source, range) are summed where the rows are, and a
 running sum over ranges gives each range its offset. Only inside a range are rows sorted. A range holds
-about 1/4096 of a source, so a source with a third of all rows is spread over thousands of groups.
+about PER_RANGE rows or fewer, so a source with a third of all rows is spread over very many groups.
 
 A source is read as often as its budget allows; in the last, partial pass documents are taken in key
 order until the budget is met exactly, cutting the last one.
@@ -11,18 +11,23 @@ order until the budget is met exactly, cutting the last one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import checkpointed, n_words
+from weftline.llm.common import checkpointed, n_words, sketch_of, within
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+#: Rows that a range holds about, beyond the 4096 ranges that there always are.
+PER_RANGE = 10_000
 
 
-def _key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+def _placed(doc_id: Column, text: Column) -> Column:
+    """What a row is placed by: its id, or its text where there is none, so that such rows are spread too."""
+    return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -57,17 +62,19 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = 7,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, epochs.
+    """One row per input row: doc_id, size, source_size, target, taken, epochs, source and k, what the row is placed by.
 
     ``taken`` is the number of words that the mix takes, repeats counted; per source it sums to the
     target, rounded. ``epochs`` is the number of whole copies nearest to that. Null texts and texts
-    without words have size 0. A null source is a source of its own. Rows with a null id share one key
-    and are ordered by size; rows that repeat an id are rows of their own. Reruns agree.
+    without words have size 0. A null source is a source of its own. A row with a null id is placed by
+    its text; rows that repeat an id are rows of their own, ordered by size. Reruns agree.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _key(F.col(id_col), seed).alias("key")
+        _placed(F.col(id_col), F.col(text_col)).alias("k"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
     )
-    rows = checkpointed(rows.withColumn("range", F.substring("key", 1, 3)))
+    rows = checkpointed(rows.withColumn("key", F.md5(F.concat("k", F.lit(f":{seed}")))))
+    digits = max(3, math.ceil(math.log(max(1, rows.count() / PER_RANGE), 16)))
+    rows = rows.withColumn("range", F.substring("key", 1, digits))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     up_to = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = checkpointed(ranges.withColumn("offset", F.coalesce(F.sum("in_range").over(up_to), F.lit(0))))
@@ -90,24 +97,37 @@ def mix(
             "target",
             (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
             (F.col("whole") + (2 * F.col("part") > F.col("size")).cast("long")).alias("epochs"),
+            "source",
+            "k",
         )
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as its epochs say, texts whole.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as its epochs say, texts whole, with all their columns.
 
-    Rows without words take no room and stay once.
+    Rows without words take no room and stay once. Rows that repeat an id, a source and a size share
+    their epochs evenly, the first by text taking what is left over.
     """
-    take = mix(docs, id_col, **options).select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs")).cast("int").alias("_n"))
-    take = take.groupBy("_id").agg(F.max("_n").alias("_n")).filter("_n > 0")
-    rows = docs.join(take, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_id", "_n")
+    key = ["k", "source", "size"]
+    rows = docs.select(F.struct("*").alias("row"), _placed(F.col(id_col), F.col(text_col)).alias("k"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    take = mix(docs, id_col, text_col, source_col, **options).select(*key, F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs")).alias("n"))
+    take = checkpointed(take.groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held")).filter("n > 0"))
+    of = lambda t: t.select(F.col("k").alias("k2"), F.col("source").alias("source2"), F.col("size").alias("size2"), "n", "held")
+    same = (F.col("k") == F.col("k2")) & F.col("source").eqNullSafe(F.col("source2")) & (F.col("size") == F.col("size2"))
+    out = rows.join(of(take.filter("held = 1")), same).select("row", "n")
+    several = checkpointed(take.filter("held > 1"))
+    if several.first() is not None:
+        some = rows.filter(within(F.xxhash64("k"), sketch_of(several, F.xxhash64("k")))).join(of(several), same)
+        turn = F.row_number().over(W.partitionBy("k2", "source2", "size2").orderBy(F.col("row")[text_col], F.xxhash64(F.to_json("row"))))
+        some = some.withColumn("turn", turn)
+        out = out.unionByName(some.select("row", (F.floor(F.col("n") / F.col("held")) + (F.col("turn") <= F.col("n") % F.col("held")).cast("long")).alias("n")))
+    return out.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':7') AS key,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':7') AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -16,7 +16,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir)).drop("source", "k")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
