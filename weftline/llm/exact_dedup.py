@@ -50,7 +50,7 @@ def block_names(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     n_blocks = max(1, -(-longest // block_chars))
     while True:
         names = _named(parts, "value")
-        named = parts.join(names, "value").select("rid", "n", "i", "name")
+        named = checkpointed(parts.join(names, "value").select("rid", "n", "i", "name"))
         done = named.filter("n = 1").select("rid", F.lit(level).alias("level"), "name")
         out = done if out is None else out.unionByName(done)
         if n_blocks <= 1:
@@ -100,16 +100,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows whose id no dropped row has stay without being shuffled.
+    Rows whose id no dropped row has stay without being shuffled. Of rows that repeat an id and a text
+    one stays, told by a hash of all its columns.
     """
     groups = checkpointed(exact_groups(docs, id_col, text_col))
-    gone = groups.filter("not kept").select(F.xxhash64("doc_id").alias("k"))
+    gone = checkpointed(groups.filter("not kept").select(F.xxhash64("doc_id").alias("k")))
     touched = within(F.xxhash64(F.col(id_col).cast(groups.schema["doc_id"].dataType)), sketch_of(gone, F.col("k")))
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_text"))
-    rows = docs.filter(touched).withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    found = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_text")), "left_semi")
-    # Rows that repeat an id and a text are brought together by the join already.
-    return docs.filter(~touched).unionByName(found.dropDuplicates([id_col, "_sha"]).drop("_sha"))
+    kept = groups.filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("text"))
+    # Under one name, the columns of the table cannot clash with others.
+    rows = docs.filter(touched).select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("text")), "left_semi")
+    found = found.groupBy("id", "sha").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return docs.filter(~touched).unionByName(found.select("row.*"))
 
 
 ORACLE_SQL = r"""
