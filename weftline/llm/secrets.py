@@ -20,6 +20,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import checkpointed, sketch_of, within
+
 #: An exact set larger than this is closed into a query.
 MAX_STRINGS = 64
 
@@ -187,8 +189,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
     """
     rules = BASE_RULES + more
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hits = _candidates(rows, rules).withColumnRenamed("doc_id", "_id")
-    joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    hits = checkpointed(_candidates(rows, rules).withColumnRenamed("doc_id", "hit"))
+    # Texts that no rule's postings name are not shuffled.
+    named = within(F.xxhash64("doc_id"), sketch_of(hits, F.xxhash64("hit")))
+    joined = rows.filter(named).join(hits, F.col("doc_id").eqNullSafe(F.col("hit")), "left").drop("hit")
+    joined = joined.unionByName(rows.filter(~named).withColumn("rules", F.lit(None).cast("array<string>")))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     found = []
     for k, rule in enumerate(rules):
