@@ -44,8 +44,8 @@ def n_words(text: Column) -> Column:
     return F.when(F.length(inner) > 0, F.size(F.split(inner, WORD_GAP))).otherwise(F.lit(0)).cast("long")
 
 
-#: 64-bit words of a sketch.
-SKETCH_WORDS = 1 << 14
+#: A sketch has 16 bits a key, in 64-bit words, between these numbers of words.
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 20
 
 
 def one_bit(x: Column) -> Column:
@@ -59,18 +59,20 @@ def as_array(table: DataFrame, at: str, value: str) -> Column:
 
 
 def sketch_of(keys: DataFrame, key: Column) -> Column:
-    """A scalar subquery with a bit for each residue of a key; its size does not depend on the table.
+    """A scalar subquery with a bit for each residue of a key. ``keys`` should be materialised: it is counted.
 
-    It only serves to leave out rows early that a join would leave out; where all bits are set, all
-    rows go to the join.
+    It only serves to leave out rows early that a join would leave out. Its size grows with the keys up
+    to MOST_WORDS; beyond, more rows go to the join, and in the end all.
     """
-    bit = F.pmod(key, F.lit(SKETCH_WORDS * 64))
-    words = keys.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(one_bit(bit)).alias("x"))
-    every = keys.sparkSession.range(SKETCH_WORDS).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    n = keys.count()
+    words = min(MOST_WORDS, max(LEAST_WORDS, 1 << max(0, n // 4 - 1).bit_length()))
+    bit = F.pmod(key, F.lit(words * 64))
+    held = keys.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(one_bit(bit)).alias("x"))
+    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(held, "w", "left")
     return as_array(every.select("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")), "w", "x")
 
 
 def within(key: Column, sketch: Column) -> Column:
     """Whether the key's bit is set."""
-    bit = F.pmod(key, F.lit(SKETCH_WORDS * 64))
+    bit = F.pmod(key, F.size(sketch) * 64)
     return F.call_function("shiftright", F.get(sketch, F.floor(bit / 64).cast("int")), bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1

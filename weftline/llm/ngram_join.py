@@ -44,7 +44,7 @@ TOGETHER, REPORTED, MOST_FREQUENT = 3_000_000, 4, 100_000
 #: N-grams of a block of a component.
 BLOCK = 400_000
 SIGNATURE_BITS = 1024
-SKETCH_BITS = 1 << 20
+SKETCH_BITS, MOST_SKETCH_BITS = 1 << 20, 1 << 26
 
 
 def ngram_set(words: np.ndarray, n: int = N) -> np.ndarray:
@@ -179,29 +179,35 @@ def search(query: np.ndarray, members: list[np.ndarray], factor: float = 0.01) -
     return out
 
 
-def _sketch(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash residue of the ids; bounded, and only used to leave out others early."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(SKETCH_BITS))
-    rows = ids.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("x")).collect()
-    out = np.zeros(SKETCH_BITS // 64, np.int64)
-    for r in rows:
-        out[r["w"]] = r["x"]
+def id_sketch(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash residue of the ids, only used to leave out others early. ``ids`` should be
+    materialised: there are 16 bits an id, between SKETCH_BITS and MOST_SKETCH_BITS."""
+    bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, 1 << (16 * ids.count()).bit_length()))
+    bit = F.xxhash64("id").bitwiseAND(bits - 1)
+    rows = ids.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("x")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64)
     return out
 
 
+def sketched(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes have their bit set."""
+    bit = hashes & (64 * len(sketch) - 1)
+    return (sketch[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
 def _sets(docs: DataFrame, ids: DataFrame, n: int, keyed: bool = False) -> DataFrame:
     """(id, grams) of the texts with the ids, and perhaps of some others; ``keyed``, also their keys."""
-    sketch = _sketch(ids)
+    sketch = id_sketch(ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bit = batch["bit"].to_numpy(np.int64)
-            batch = batch[(sketch[bit >> 6] >> (bit & 63)) & 1 == 1]
+            batch = batch[sketched(sketch, batch["bit"].to_numpy(np.int64))]
             words = [word_hashes(t, lower=True) for t in batch["text"]]
             out = pd.DataFrame({"id": batch["id"], "grams": [ngram_set(w, n).tobytes() for w in words]})
             yield out.assign(key=[_key(w) for w in words]) if keyed else out
 
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS)).alias("bit"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("bit"))
     return rows.mapInPandas(run, "id bigint, grams binary" + ", key binary" * keyed)
 
 
@@ -232,7 +238,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """The pairs (q, m) that link, by searches of one query and at most about CHUNK members."""
     many = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     pairs = checkpointed(pairs.join(many, "q").select("q", "m", F.pmod(F.xxhash64("m"), F.col("chunks")).alias("chunk")))
-    ids = pairs.select(F.explode(F.array("q", "m")).alias("id")).distinct()
+    ids = checkpointed(pairs.select(F.explode(F.array("q", "m")).alias("id")).distinct())
     sets = checkpointed(_sets(docs, ids, n))
     rows = pairs.join(sets, pairs["m"] == sets["id"]).select("q", "chunk", "m", "grams")
     heads = pairs.select("q", "chunk").distinct().join(sets, F.col("q") == sets["id"])
@@ -391,10 +397,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold their component, with all their columns. Rows without an id stay."""
+    """The rows of ``docs`` that hold their component, with all their columns. Rows without an id stay.
+
+    Rows that repeat an id stay or go together. An empty table gives an empty result.
+    """
     placed = _placed(*_grouped(_texts(docs, id_col, text_col), N))
-    gone = checkpointed(placed.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = checkpointed(placed.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     own = F.col(id_col).cast("bigint")
     # Rows that the sketch tells apart from all dropped ones stay without being shuffled.
-    touched = F.coalesce(within(F.xxhash64(own), sketch_of(gone, F.xxhash64("_gone"))), F.lit(False))
-    return docs.filter(~touched).unionByName(docs.filter(touched).join(gone, own == F.col("_gone"), "left_anti"))
+    touched = F.coalesce(within(F.xxhash64(own), sketch_of(gone, F.xxhash64("gone"))), F.lit(False))
+    some = docs.filter(touched).select(F.struct("*").alias("row"), own.alias("own")).join(gone, F.col("own") == F.col("gone"), "left_anti")
+    return docs.filter(~touched).unionByName(some.select("row.*"))

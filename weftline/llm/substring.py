@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import checkpointed, text_batches
 from weftline.llm.licenses import SuffixAutomaton
-from weftline.llm.ngram_join import SKETCH_BITS, _sketch
+from weftline.llm.ngram_join import id_sketch, sketched
 from weftline.llm.textcodes import ngram_hashes, word_hashes
 
 SPAN = 35
@@ -255,15 +255,13 @@ def _cut(span: int, texts: bool):
 
 def _text_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id is among ``ids`` (id), and perhaps some others; no shuffle."""
-    sketch = _sketch(ids)
+    sketch = id_sketch(ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bit = batch.pop("bit").to_numpy(np.int64)
-            yield batch[(sketch[bit >> 6] >> (bit & 63)) & 1 == 1]
+            yield batch[sketched(sketch, batch.pop("bit").to_numpy(np.int64))]
 
-    rows = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS)))
-    return rows.mapInPandas(run, "doc_id string, text string")
+    return docs.withColumn("bit", F.xxhash64("doc_id")).mapInPandas(run, "doc_id string, text string")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = False, most_anchors: int = MOST_ANCHORS) -> DataFrame:
