@@ -271,7 +271,7 @@ def test_long_lists_of_lines(spark, monkeypatch):
         docs.append((i, "\n".join([" ".join(v), f"tail {i} {rng.randrange(5)}"])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = sorted(map(tuple, line_dedup.cut_lines(df).collect()))
-    for name, value in (("SHORT", 0), ("STAR", 1)):
+    for name, value in (("PER_TASK", 1), ("BUCKETS", 16), ("ONE", 4)):
         with monkeypatch.context() as m:
             m.setattr(line_dedup, name, value)
             assert sorted(map(tuple, line_dedup.cut_lines(df).collect())) == want
@@ -516,6 +516,35 @@ def test_other_columns_may_clash(spark):
         assert f(df).columns == list(names)
 
 
+def test_own_names_may_clash(spark):
+    names = "doc_id", "text", "source", "label", "_id", "_n", "k", "k2", "row", "own", "gone", "turn", "held", "keep", "id", "size", "rules", "hit", "held_out", "before"
+    row = (1, "some text of words\nsome text of words", "a", *range(len(names) - 3))
+    df = spark.createDataFrame([row, (2, *row[1:])], names)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, toxic int, label int")
+    assert toxicity.scores(df, labels).count() == 2
+    assert mixing.mix(df).count() == secrets.scan(df).count() == quality.verdicts(df).count() == 2
+    for f in (exact_dedup.drop_copies, mixing.mixed, ngram_join.one_of_each_group, lambda d: toxicity.drop_toxic(d, labels)):
+        assert f(df).columns == list(names)
+
+
+def test_rows_that_repeat_an_id_share_their_epochs(spark):
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    rows = [(7, words(10), "a")] * 3 + [(7, words(4), "a"), (None, words(6), "a"), (None, words(6), "a"), (None, None, "a")] + [(k, words(5), "b") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["size"]] += r["epochs"] if r["size"] else 1
+    got = Counter((r["doc_id"], len((r["text"] or "").split())) for r in mixing.mixed(df).collect())
+    assert got == +want
+
+
+def test_copies_that_differ_elsewhere(spark):
+    rows = [(1, "a b", k) for k in range(5)] + [(1, "a  b", 9), (2, "a b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    kept = [exact_dedup.drop_copies(df.repartition(n)).collect() for n in (1, 3)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
