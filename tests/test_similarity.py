@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import similarity as S
+from weftline.functions import subsequence
 from weftline.functions.phonetic import metaphone
 
 words = st.text(alphabet="abc d", max_size=12)
@@ -51,9 +52,25 @@ RULES = [
 ]
 
 
-@pytest.mark.parametrize("n1,a1,n2,a2,found", RULES)
-def test_rule_branches(n1, a1, n2, a2, found):
-    assert (S.rule_score(n1, a1, n2, a2) > 0) == found
+def test_rule_branches(spark):
+    df = spark.createDataFrame([r[:4] for r in RULES], "n1 string, a1 string, n2 string, a2 string").withColumn("r", S.rule_ratios("n1", "n2", "a1", "a2"))
+    score = S.rule_score_col(*(F.col(c) for c in ("n1", "a1", "n2", "a2", "r")))
+    for row in df.withColumn("score", score).collect():
+        assert (row["score"] > 0) == dict((r[:4], r[4]) for r in RULES)[tuple(row[:4])]
+        x, order, words = row["r"]
+        assert x == pytest.approx(S.token_set_ratio(row["n1"], row["n2"]))
+        assert order == pytest.approx(S.token_sort_ratio(row["a1"], row["a2"])) and words == pytest.approx(S.token_set_ratio(row["a1"], row["a2"]))
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(*[st.text(alphabet="abcd é1", max_size=90)] * 2), max_size=12))
+def test_batches_equal_single_pairs(pairs):
+    a, b = [p for p, _ in pairs], [q for _, q in pairs]
+    for batched, single in (
+        (subsequence.ratios, S.ratio), (subsequence.best_window_ratios, S.partial_ratio), (S._sort_ratios, S.token_sort_ratio),
+        (S._set_ratios, S.token_set_ratio), (S._phonetics, S.phonetic_similarity),
+    ):
+        assert list(batched(a, b)) == pytest.approx([single(x, y) for x, y in pairs])
 
 
 def test_column_features(spark):

@@ -1,21 +1,25 @@
 """Pairwise similarities.
 
-Set and token features are Spark expressions. What compares characters (subsequence ratios, partial
-ratio, Jaro-Winkler, phonetic codes) is computed by Arrow UDFs, all of a pair in one UDF call where
-several are needed, so that strings cross to Python once.
+Set and token features are Spark expressions, and so are the rules of the rule matcher. What compares
+characters (subsequence ratios, partial ratio, Jaro-Winkler, phonetic codes) is computed by Arrow UDFs
+over whole batches, all of a pair in one UDF call where several are needed, so that strings cross to
+Python once. The plain functions say what the batched ones compute, one pair at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from weftline.functions import lexicon as X
+from weftline.functions import subsequence
 from weftline.functions import text as T
 from weftline.functions.phonetic import metaphone
 
@@ -117,60 +121,78 @@ def phonetic_similarity(a: str, b: str) -> float:
     return ratio(*codes) if all(words) else 0.0
 
 
-def _numbers(s: str) -> set[str]:
-    return set(re.findall(r"\b\d+\b", s))
-
-
-def rule_score(n1: str, a1: str, n2: str, a2: str) -> float:
-    """Score of the rule matcher on 0 to 1; names and addresses are compared in lower case.
-
-    Addresses are looked at only as far as the name leaves it open.
-    """
-    n1, a1, n2, a2 = n1.lower(), a1.lower(), n2.lower(), a2.lower()
-    name = token_set_ratio(n1, n2)
-    if name < 50:
-        if a2.strip() and len(a1) > 5 and (order := token_sort_ratio(a1, a2)) >= 75:
-            return (0.25 * name + 0.75 * order) / 100
-        return 0.0
-    if not a2.strip():
-        return 0.95 * name / 100 if name >= 85 else 0.0
-    order, words = token_sort_ratio(a1, a2), token_set_ratio(a1, a2)
-    shared = bool(_numbers(a1) & _numbers(a2))
-    if name >= 80:
-        if order >= 50 or shared or words >= 60:
-            return (0.60 * name + 0.40 * max(order, words)) / 100
-        return (0.75 * name + 0.25 * order) / 100
-    if name >= 60 and (order >= 60 or shared and words >= 65):
-        return (0.45 * name + 0.55 * order) / 100
-    return 0.0
+# --- the same over columns -----------------------------------------------------------------------
 
 
-# --- the same over columns -----------------------------------------------------------------------
+def _texts(side: pd.Series) -> list[str]:
+    return side.fillna("").tolist()
 
 
-def _over(f: Callable[..., float], n: int = 2):
-    if n == 2:
+def _in_order(texts: list[str]) -> list[str]:
+    """Words of each text, sorted; a text that repeats is sorted once."""
+    known: dict[str, str] = {}
+    return [known[t] if t in known else known.setdefault(t, " ".join(sorted(t.split()))) for t in texts]
 
-        @F.pandas_udf(types.DoubleType())
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
-    else:
+def _set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`token_set_ratio` of each pair.
 
-        @F.pandas_udf(types.DoubleType())
-        def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-            return pd.Series([f(*(x or "" for x in row)) for row in zip(a, b, c, d, strict=True)], dtype=float)
+    The common words begin what they are compared with, so that only the two whole strings need a
+    subsequence.
+    """
+    known: dict[str, frozenset[str]] = {}
+    words = lambda t: known[t] if t in known else known.setdefault(t, frozenset(t.split()))
+    out, left, right, at = np.zeros(len(a)), [], [], []
+    for k, (x, y) in enumerate(zip(map(words, a), map(words, b), strict=True)):
+        if not x or not y:
+            continue
+        shared = " ".join(sorted(x & y))
+        if shared and (x <= y or y <= x):
+            out[k] = 100.0
+            continue
+        p, q = (f"{shared} {' '.join(sorted(z))}".strip() for z in (x - y, y - x))
+        if shared:
+            out[k] = max(200.0 * len(shared) / (len(shared) + min(len(p), len(q))), 0.0)
+        left.append(p)
+        right.append(q)
+        at.append(k)
+    out[at] = np.maximum(out[at], subsequence.ratios(left, right))
+    return out
+
+
+def _phonetics(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`phonetic_similarity` of each pair; a text that repeats is coded once."""
+    known: dict[str, tuple[bool, str]] = {}
+
+    def coded(t: str) -> tuple[bool, str]:
+        if t not in known:
+            words = [w for w in re.findall("[a-zA-Z]+", t) if w.lower() not in _ACRONYM_STOP]
+            known[t] = bool(words), " ".join(map(metaphone, words))
+        return known[t]
+
+    x, y = [coded(t) for t in a], [coded(t) for t in b]
+    both = np.array([p[0] and q[0] for p, q in zip(x, y, strict=True)], bool)
+    return np.where(both, subsequence.ratios([c for _, c in x], [c for _, c in y]), 0.0)
+
+
+def _sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    return subsequence.ratios(_in_order(a), _in_order(b))
+
+
+def _over(f: Callable[[list[str], list[str]], np.ndarray]):
+    @F.pandas_udf(types.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(f(_texts(a), _texts(b)), float))
 
     return run
 
 
-ratio_col = _over(ratio)
-token_sort_ratio_col = _over(token_sort_ratio)
-token_set_ratio_col = _over(token_set_ratio)
-partial_ratio_col = _over(partial_ratio)
-jaro_winkler_col = _over(jaro_winkler)
-phonetic_similarity_col = _over(phonetic_similarity)
-rule_score_col = _over(rule_score, 4)
+ratio_col = _over(subsequence.ratios)
+token_sort_ratio_col = _over(_sort_ratios)
+token_set_ratio_col = _over(_set_ratios)
+partial_ratio_col = _over(subsequence.best_window_ratios)
+jaro_winkler_col = _over(lambda a, b: np.array([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)]))
+phonetic_similarity_col = _over(_phonetics)
 
 #: What :func:`character_features` returns.
 CHARACTER_FEATURES = (
@@ -181,14 +203,67 @@ CHARACTER_FEATURES = (
 
 @F.pandas_udf(types.StructType([types.StructField(c, types.DoubleType()) for c in CHARACTER_FEATURES]))
 def character_features(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
-    """All features of a pair that compare characters."""
-    rows = []
-    for x, y, p, q in zip(n1, n2, a1, a2, strict=True):
-        x, y, p, q = x or "", y or "", p or "", q or ""
-        rows.append(
-            (ratio(x, y), token_sort_ratio(x, y), token_set_ratio(x, y), partial_ratio(x, y), ratio(p, q), token_sort_ratio(p, q), partial_ratio(p, q), phonetic_similarity(x, y))
-        )
-    return pd.DataFrame(rows, columns=list(CHARACTER_FEATURES))
+    """All features of pairs that compare characters."""
+    name, addr = (_texts(n1), _texts(n2)), (_texts(a1), _texts(a2))
+    made = (
+        subsequence.ratios(*name), _sort_ratios(*name), _set_ratios(*name), subsequence.best_window_ratios(*name),
+        subsequence.ratios(*addr), _sort_ratios(*addr), subsequence.best_window_ratios(*addr), _phonetics(*name),
+    )
+    return pd.DataFrame(dict(zip(CHARACTER_FEATURES, made, strict=True)))
+
+
+_BANDS = ("name_words", "addr_order", "addr_words")
+
+
+@F.pandas_udf(types.StructType([types.StructField(c, types.DoubleType()) for c in _BANDS]))
+def rule_ratios(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
+    """What the rules look at: word set ratio of the names, sorted and set ratio of the addresses."""
+    addr = _texts(a1), _texts(a2)
+    made = _set_ratios(_texts(n1), _texts(n2)), _sort_ratios(*addr), _set_ratios(*addr)
+    return pd.DataFrame(dict(zip(_BANDS, made, strict=True)))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Names whose ratio is in [least, below), with evidence of the address: weights of the name's ratio
+    and of the address's."""
+
+    least: float
+    below: float
+    evidence: str
+    name: float
+    address: float
+    measure: str = "addr_order"
+
+
+#: The rules, of which the first that applies gives the score.
+RULES = (
+    Rule(85, 101, "no address", 0.95, 0.0),
+    Rule(80, 101, "alike", 0.60, 0.40, "addr_best"),
+    Rule(80, 101, "address", 0.75, 0.25),
+    Rule(60, 80, "close", 0.45, 0.55),
+    Rule(0, 50, "same place", 0.25, 0.75),
+)
+
+
+def rule_score_col(n1: Column, a1: Column, n2: Column, a2: Column, ratios: Column) -> Column:
+    """Score of the rule matcher on 0 to 1, from :func:`rule_ratios` of the texts in lower case."""
+    order, words = ratios["addr_order"], ratios["addr_words"]
+    given = T.strip(a2) != ""
+    shared = F.arrays_overlap(T.all_numbers(a1), T.all_numbers(a2))
+    evidence = {
+        "no address": ~given,
+        "address": given,
+        "alike": given & ((order >= 50) | shared | (words >= 60)),
+        "close": given & ((order >= 60) | (shared & (words >= 65))),
+        "same place": given & (F.length(a1) > 5) & (order >= 75),
+    }
+    measure = {"addr_order": order, "addr_best": F.greatest(order, words)}
+    name, out = ratios["name_words"], F.lit(None).cast("double")
+    for rule in reversed(RULES):
+        applies = (name >= rule.least) & (name < rule.below) & evidence[rule.evidence]
+        out = F.when(applies, (rule.name * name + rule.address * measure[rule.measure]) / 100).otherwise(out)
+    return F.coalesce(out, F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -168,7 +168,7 @@ def distinctive_words(c: Column, generic: Sequence[str] = X.GENERIC_TERMS) -> Co
 
 def address_probes(c: Column, generic: Sequence[str] = X.GENERIC_TERMS) -> Column:
     """A struct: the first number of two digits or more, and the first word of four letters or more."""
-    numbers = F.filter(_words_of(c, r"\b\d+\b"), lambda n: F.length(n) >= 2)
+    numbers = F.filter(all_numbers(c), lambda n: F.length(n) >= 2)
     words = F.filter(_without(_words_of(c, ANY_WORD), generic), lambda w: (F.length(w) >= 4) & w.rlike(r"^\p{L}+$"))
     return F.struct(F.get(numbers, F.lit(0)).alias("number"), F.get(words, F.lit(0)).alias("word"))
 
@@ -204,9 +204,14 @@ def acronym_words(c: Column) -> Column:
     return F.transform(_without(_words_of(c, r"[a-zA-Z0-9]+"), X.ACRONYM_STOP_WORDS), lambda w: F.upper(w))
 
 
+def all_numbers(c: Column) -> Column:
+    """Stand-alone numbers."""
+    return _words_of(c, r"\b\d+\b")
+
+
 def numbers(c: Column) -> Column:
     """Distinct stand-alone numbers but those of five or six digits."""
-    return F.array_distinct(F.filter(_words_of(c, r"\b\d+\b"), lambda n: ~F.length(n).isin(5, 6)))
+    return F.array_distinct(F.filter(all_numbers(c), lambda n: ~F.length(n).isin(5, 6)))
 
 
 def match_bucket(n: Column) -> Column:

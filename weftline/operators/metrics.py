@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.session import checkpointed
 from weftline.functions import text as T
 from weftline.operators.blocking import PAIR
 
@@ -93,13 +94,22 @@ def best_threshold(curve: DataFrame) -> DataFrame:
 def binary_metrics(scored: DataFrame, threshold: float = 0.5, label: str = "label", score: str = "score") -> DataFrame:
     """One row: ROC-AUC, average precision, accuracy, precision, recall, F1 and the confusion matrix.
 
-    Areas are summed over distinct scores, ties as one step; they are 0 if a class is missing. Running
-    counts are taken over distinct scores, whose number the aggregate bounds.
+    Areas are summed over distinct scores, ties as one step; they are 0 if a class is missing. Distinct
+    scores are dealt out in ranges; a running sum over ranges gives each range where its counts start.
     """
     by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    down = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    run = by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(every), "neg": F.sum("n").over(every)})
+    by = checkpointed(by.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id()))
+    # One row per range.
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy(F.lit(0))
+    start = by.groupBy("part").agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    zero = F.lit(0).cast("long")
+    start = start.select(
+        "part", F.coalesce(F.sum("ps").over(before), zero).alias("tp0"), F.coalesce(F.sum("ns").over(before), zero).alias("fp0"), F.sum("ps").over(every).alias("pos"), F.sum("ns").over(every).alias("neg")
+    )
+    down = W.partitionBy("part").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = by.withColumns({"tp1": F.sum("p").over(down), "fp1": F.sum("n").over(down)}).join(start, "part")
+    run = run.withColumns({"tp": F.col("tp0") + F.col("tp1"), "fp": F.col("fp0") + F.col("fp1")})
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
     roc = F.when(both, F.col("n") * (F.col("tp") - F.col("p") / 2) / (F.col("pos") * F.col("neg"))).otherwise(0.0)
     ap = F.when(both, F.col("p") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)

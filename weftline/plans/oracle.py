@@ -99,6 +99,35 @@ def in_order(x: str) -> str:
     return f"array_to_string(list_sort({split(x)}), ' ')"
 
 
+def with_set_ratio(table: str, a: str, b: str, name: str) -> str:
+    """The table with the word set ratio of two of its columns."""
+    only = lambda x, y: f"array_to_string(list_sort(list_filter(list_distinct({x}), lambda s: NOT list_contains({y}, s))), ' ')"
+    parts = f"(SELECT *, {split(a)} AS ws_x, {split(b)} AS ws_y FROM {table})"
+    parts = f"(SELECT *, array_to_string(list_sort(list_intersect(list_distinct(ws_x), ws_y)), ' ') AS ws_i, {only('ws_x', 'ws_y')} AS ws_l, {only('ws_y', 'ws_x')} AS ws_r FROM {parts})"
+    parts = f"(SELECT *, trim(ws_i || ' ' || ws_l) AS ws_p, trim(ws_i || ' ' || ws_r) AS ws_q FROM {parts})"
+    value = f"""CASE WHEN len(ws_x) = 0 OR len(ws_y) = 0 THEN 0.0 WHEN ws_i <> '' AND (ws_l = '' OR ws_r = '') THEN 100.0 WHEN ws_i = '' THEN {ratio("ws_p", "ws_q")}
+      ELSE greatest({ratio("ws_p", "ws_q")}, 200.0 * length(ws_i) / (length(ws_i) + length(ws_p)), 200.0 * length(ws_i) / (length(ws_i) + length(ws_q))) END"""
+    return f"(SELECT * EXCLUDE (ws_x, ws_y, ws_i, ws_l, ws_r, ws_p, ws_q), {value} AS {name} FROM {parts})"
+
+
+def rule_score(rules) -> str:
+    """The score of the rules over name_words, addr_order, addr_words, a1, a2."""
+    numbers = lambda x: rf"regexp_extract_all({x}, '\b\d+\b')"
+    given, shared = f"{strip('a2')} <> ''", f"len(list_intersect({numbers('a1')}, {numbers('a2')})) > 0"
+    evidence = {
+        "no address": f"NOT ({given})",
+        "address": given,
+        "alike": f"{given} AND (addr_order >= 50 OR {shared} OR addr_words >= 60)",
+        "close": f"{given} AND (addr_order >= 60 OR ({shared} AND addr_words >= 65))",
+        "same place": f"{given} AND length(a1) > 5 AND addr_order >= 75",
+    }
+    measure = {"addr_order": "addr_order", "addr_best": "greatest(addr_order, addr_words)"}
+    cases = " ".join(
+        f"WHEN name_words >= {r.least} AND name_words < {r.below} AND {evidence[r.evidence]} THEN ({r.name}::DOUBLE * name_words + {r.address}::DOUBLE * {measure[r.measure]}) / 100" for r in rules
+    )
+    return f"CASE {cases} ELSE 0.0 END"
+
+
 def jaccard(a: str, b: str) -> str:
     both = f"len(list_distinct(list_concat({a}, {b})))"
     return f"CASE WHEN {both} > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / {both} ELSE 0.0 END"
@@ -142,7 +171,12 @@ cn AS (SELECT country, count(*) AS n FROM n WHERE src > 1 GROUP BY ALL),
 v AS (SELECT entity_id, src, country, g, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM g JOIN df USING (country, g) JOIN cn USING (country)),
 u AS MATERIALIZED (SELECT entity_id, src, country, g, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM v),
 dots AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_id, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.country = b.country AND a.g = b.g WHERE a.src = 1 AND b.src > 1 GROUP BY ALL),
-top AS (SELECT * FROM dots QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY round(s, 9) DESC, candidate_id) <= 8)"""
+near AS (SELECT * FROM dots QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY round(s, 9) DESC, candidate_id) <= 8),
+held AS (SELECT source1_entity_id, count(*) AS k FROM near GROUP BY ALL),
+pad AS (SELECT q.entity_id AS source1_entity_id, c.entity_id AS candidate_id, 0.0::DOUBLE AS s FROM n q JOIN n c ON q.country = c.country LEFT JOIN held h ON h.source1_entity_id = q.entity_id
+        WHERE q.src = 1 AND c.src > 1 AND coalesce(k, 0) < 8 AND (q.entity_id, c.entity_id) NOT IN (SELECT (source1_entity_id, candidate_id) FROM near)
+        QUALIFY row_number() OVER (PARTITION BY q.entity_id ORDER BY c.entity_id) <= 8 - coalesce(any_value(k) OVER (PARTITION BY q.entity_id), 0)),
+top AS (SELECT source1_entity_id, candidate_id, s FROM near UNION ALL SELECT * FROM pad)"""
 
 
 def f05(p: str, t: str, h: str) -> str:

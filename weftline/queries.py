@@ -39,12 +39,12 @@ def _all(spark, d, addressed=True):
     return views.all_entities(spark, d, addressed)
 
 
-def _joined(spark: SparkSession, d: str, least: int = 3, addressed: bool = True) -> DataFrame:
+def _joined(spark: SparkSession, d: str, least: int = X.MIN_SHARED_TOKENS, addressed: bool = True) -> DataFrame:
     s1, s2, s3 = views.entities(spark, d, addressed)
     return features.join_records(blocking.token_overlap(s1, s2.unionByName(s3), least), s1, s2, s3)
 
 
-_PAIRS3 = _with(O.OVERLAP, O.PAIRS.format(least=3), addressed=True)
+_ADDRESSED = _with(O.OVERLAP, O.PAIRS.format(least=2), addressed=True)
 _PAIRS2 = _with(O.OVERLAP, O.PAIRS.format(least=2))
 _SCORED = _with(O.OVERLAP, O.PAIRS.format(least=2), O.SCORED, O.TRUTH)
 _IDS = "source1_entity_id, candidate_id"
@@ -66,16 +66,14 @@ def sorted_neighborhood_block(spark, d):
 @query(_with(O.TFIDF) + f"SELECT {_IDS}, round(s, 6) AS similarity FROM top")
 def tfidf_topk_block(spark, d):
     s1, s2, s3 = views.entities(spark, d)
-    out = blocking.tfidf_neighbors(s1, s2.unionByName(s3), pad=False)
+    out = blocking.tfidf_neighbors(s1, s2.unionByName(s3))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(_with(O.OVERLAP, O.SORTED, O.TFIDF) + f"SELECT {_IDS} FROM overlap WHERE c >= 2 UNION SELECT {_IDS} FROM hood UNION SELECT {_IDS} FROM top")
 def candidate_union(spark, d):
     s1, s2, s3 = views.entities(spark, d)
-    rest = s2.unionByName(s3)
-    top = blocking.tfidf_neighbors(s1, rest, pad=False).select(*PAIR)
-    return blocking.generate_candidates(s1, s2, s3, strategies=("neighborhood", "tokens")).union(top).distinct()
+    return blocking.generate_candidates(s1, s2, s3)
 
 
 @query(
@@ -198,7 +196,7 @@ def id_list_parse(spark, d):
 
 
 @query(
-    _PAIRS3
+    _ADDRESSED
     + f"""SELECT {_IDS}, {O.jaccard("t1", "t2")} AS name_jaccard, {O.jaccard("u1", "u2")} AS addr_jaccard,
       (regexp_extract(n1, '^\\s*(\\S+)', 1) = regexp_extract(n2, '^\\s*(\\S+)', 1) AND regexp_extract(n1, '^\\s*(\\S+)', 1) <> '')::INT AS name_first_word_match,
       abs(length(n1) - length(n2))::INT AS name_length_diff, len(list_intersect(t1, t2))::INT AS name_num_common_tokens,
@@ -224,7 +222,7 @@ _HELD = "length({s}) >= 2 AND (list_contains({w}, {s}) OR array_to_string({w}, '
 
 
 @query(
-    _PAIRS3
+    _ADDRESSED
     + f"""SELECT {_IDS}, CASE WHEN {_HELD.format(s="i2", w="w1")} OR {_HELD.format(s="i1", w="w2")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS name_acronym_match
       FROM (SELECT {_IDS}, {_INITIALS.format("n1")} AS i1, {_INITIALS.format("n2")} AS i2, {_UPPER.format("n1")} AS w1, {_UPPER.format("n2")} AS w2 FROM p)"""
 )
@@ -233,7 +231,7 @@ def acronym_match(spark, d):
 
 
 @query(
-    _PAIRS3
+    _ADDRESSED
     + f"""SELECT {_IDS}, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.5 ELSE {O.jaccard("x", "y")} END AS addr_numeric_similarity
       FROM (SELECT {_IDS}, {_NUMBERS.format("a1")} AS x, {_NUMBERS.format("a2")} AS y FROM p)"""
 )
@@ -250,22 +248,22 @@ _SET_RATIO = f"""(SELECT {_IDS}, CASE WHEN nx = 0 OR ny = 0 THEN 0.0 WHEN i <> '
   FROM (SELECT *, trim(i || ' ' || l) AS il, trim(i || ' ' || r) AS ir FROM {_PARTS}))"""
 
 
-@query(_PAIRS3 + f"SELECT {_IDS}, round({O.ratio('n1', 'n2')}, 6) AS name_ratio FROM p")
+@query(_ADDRESSED + f"SELECT {_IDS}, round({O.ratio('n1', 'n2')}, 6) AS name_ratio FROM p")
 def indel_ratio(spark, d):
     return _joined(spark, d).select(*PAIR, F.round(S.ratio_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_ratio"))
 
 
-@query(_PAIRS3 + f"SELECT {_IDS}, round({O.ratio('x', 'y')}, 6) AS name_token_sort_ratio FROM {_SORTED_NAMES}")
+@query(_ADDRESSED + f"SELECT {_IDS}, round({O.ratio('x', 'y')}, 6) AS name_token_sort_ratio FROM {_SORTED_NAMES}")
 def token_sort_ratio(spark, d):
     return _joined(spark, d).select(*PAIR, F.round(S.token_sort_ratio_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_token_sort_ratio"))
 
 
-@query(_PAIRS3 + f"SELECT {_IDS}, round(v, 6) AS name_token_set_ratio FROM {_SET_RATIO}")
+@query(_ADDRESSED + f"SELECT {_IDS}, round(v, 6) AS name_token_set_ratio FROM {_SET_RATIO}")
 def token_set_ratio(spark, d):
     return _joined(spark, d).select(*PAIR, F.round(S.token_set_ratio_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_token_set_ratio"))
 
 
-@query(_PAIRS3 + f"SELECT {_IDS}, round(0.6 * s.v + 0.4 * ({O.ratio('t.v', 't.w')}), 6) AS combined_similarity FROM {_SET_RATIO} s JOIN {_SORTED_NAMES} t USING ({_IDS})")
+@query(_ADDRESSED + f"SELECT {_IDS}, round(0.6 * s.v + 0.4 * ({O.ratio('t.v', 't.w')}), 6) AS combined_similarity FROM {_SET_RATIO} s JOIN {_SORTED_NAMES} t USING ({_IDS})")
 def combined_similarity(spark, d):
     rows = _joined(spark, d)
     name = S.token_set_ratio_col("a_business_name_norm", "b_business_name_norm")
@@ -276,19 +274,19 @@ def combined_similarity(spark, d):
 _JW = "CASE WHEN {0} = '' AND {1} = '' THEN 1.0 ELSE jaro_winkler_similarity({0}, {1}) END"
 
 
-@query(_PAIRS3 + f"SELECT {_IDS}, round({_JW.format('n1', 'n2')}, 6) AS name_jaro_winkler FROM p")
+@query(_ADDRESSED + f"SELECT {_IDS}, round({_JW.format('n1', 'n2')}, 6) AS name_jaro_winkler FROM p")
 def jaro_winkler(spark, d):
     return _joined(spark, d).select(*PAIR, F.round(S.jaro_winkler_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_jaro_winkler"))
 
 
 @query()
 def partial_ratio(spark, d):
-    return _joined(spark, d, X.MIN_SHARED_TOKENS).select(*PAIR, F.round(S.partial_ratio_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_partial_ratio"))
+    return _joined(spark, d).select(*PAIR, F.round(S.partial_ratio_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_partial_ratio"))
 
 
 @query()
 def phonetic_similarity(spark, d):
-    return _joined(spark, d, X.MIN_SHARED_TOKENS).select(*PAIR, F.round(S.phonetic_similarity_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_phonetic_sim"))
+    return _joined(spark, d).select(*PAIR, F.round(S.phonetic_similarity_col("a_business_name_norm", "b_business_name_norm"), 6).alias("name_phonetic_sim"))
 
 
 @query()
@@ -471,10 +469,33 @@ def fts_stemmed_lookup(spark, d):
     return retrieval.tiered_lookup(s1, retrieval.build_index(s2, s3, stemming=True), stemming=True)
 
 
-@query()
+_RULED = f"""low AS MATERIALIZED (SELECT {_IDS}, lower(a.business_name) AS n1, lower(b.business_name) AS n2, lower(a.business_address) AS a1, lower(b.business_address) AS a2
+    FROM hit JOIN e a ON a.entity_id = source1_entity_id JOIN e b ON b.entity_id = candidate_id),
+  named AS MATERIALIZED (SELECT *, {O.in_order("a1")} AS o1, {O.in_order("a2")} AS o2 FROM {O.with_set_ratio("low", "n1", "n2", "name_words")}),
+  placed AS MATERIALIZED (SELECT * EXCLUDE (o1, o2), {O.ratio("o1", "o2")} AS addr_order FROM {O.with_set_ratio("named", "a1", "a2", "addr_words")}),
+  ruled AS MATERIALIZED (SELECT {_IDS}, round({O.rule_score(S.RULES)}, 6) AS score FROM placed)"""
+
+
+@query(_with(_INDEX, _RULED, addressed=True) + f"SELECT {_IDS}, score FROM ruled")
+def rule_scores(spark, d):
+    s1, s2, s3 = views.entities(spark, d, True)
+    pairs = retrieval.tiered_lookup(s1, retrieval.build_index(s2, s3)).select(*PAIR)
+    return retrieval.rule_scores(pairs, s1, s2, s3).withColumn("score", F.round("score", 6))
+
+
+@query(
+    _with(_INDEX, _RULED, addressed=True)
+    + f"SELECT {_IDS}, score FROM (SELECT *, max(score) OVER (PARTITION BY source1_entity_id) AS top FROM ruled WHERE score >= {X.RULE_THRESHOLD}) WHERE score >= {X.RULE_MARGIN_RATIO} * top"
+)
 def rule_score_match(spark, d):
     s1, s2, s3 = views.entities(spark, d, True)
-    return retrieval.rule_matches(s1, s2, s3, stemming=False)
+    return retrieval.rule_matches(s1, s2, s3, stemming=False).withColumn("score", F.round("score", 6))
+
+
+@query()
+def stemmed_rule_match(spark, d):
+    s1, s2, s3 = views.entities(spark, d, True)
+    return retrieval.rule_matches(s1, s2, s3)
 
 
 # --- learned -------------------------------------------------------------------------------------
