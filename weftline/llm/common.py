@@ -22,7 +22,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def text_batches(df: DataFrame, most: int = 1000) -> DataFrame:
+def text_batches(df: DataFrame, most: int = 200) -> DataFrame:
     """Limits the rows that the session sends to Python at once.
 
     Texts and sets of n-grams are large, and a batch is held several times over on its way.

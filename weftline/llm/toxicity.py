@@ -36,6 +36,8 @@ MOST_LABELLED = 4000
 STEM_FROM, STEM_TO = 4, 7
 #: Words and stems of at least so many letters may have an error.
 LEAST_FUZZY = 5
+#: Members of the states that an automaton holds before it starts over.
+MOST_HELD = 500_000
 WINDOW = 6
 THRESHOLD = 0.7
 
@@ -88,6 +90,7 @@ class Lexicon:
         self.ends: list[tuple[float, int] | None] = []
         self.stops: list[tuple[float, int] | None] = []
         self.near: list[tuple[float, int] | None] = []
+        self.held = 0
         self._state(frozenset())  # dead
         self.start = self._state(frozenset({(0, 0, "")}))
 
@@ -100,6 +103,7 @@ class Lexicon:
             k = self.states[reached] = len(self.sets)
             self.sets.append(reached)
             self.steps.append({})
+            self.held += 10 + len(reached)
             hits = [(self.accept[n][0], e) for n, e, wait in reached if not wait and self.accept[n] and e <= self.accept[n][2]]
             stops = [(self.accept[n][0], e) for n, e, _ in reached if self.accept[n] and self.accept[n][1] and not e]
             near = [(self.accept[n][0], e) for n, e, wait in reached if not wait and self.accept[n] and self.accept[n][1] and 0 < e <= self.accept[n][2]]
@@ -137,7 +141,8 @@ class Lexicon:
         for node, errors, wait in reached:
             least[node, wait] = min(errors, least.get((node, wait), errors))
         found = self._state(frozenset((node, errors, wait) for (node, wait), errors in least.items()))
-        if len(self.sets) > 200_000:  # start over rather than grow without bound
+        if self.held > MOST_HELD:  # start over rather than grow without bound
+            self.held = 0
             sets = self.sets[found]
             self.states, self.sets, self.steps, self.ends, self.stops, self.near = {}, [], [], [], [], []
             self._state(frozenset())
