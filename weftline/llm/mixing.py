@@ -110,16 +110,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     their epochs evenly, the first by text taking what is left over.
     """
     key = ["k", "source", "size"]
-    rows = docs.select(F.struct("*").alias("row"), _placed(F.col(id_col), F.col(text_col)).alias("k"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    take = mix(docs, id_col, text_col, source_col, **options).select(*key, F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs")).alias("n"))
-    take = checkpointed(take.groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held")).filter("n > 0"))
-    of = lambda t: t.select(F.col("k").alias("k2"), F.col("source").alias("source2"), F.col("size").alias("size2"), "n", "held")
-    same = (F.col("k") == F.col("k2")) & F.col("source").eqNullSafe(F.col("source2")) & (F.col("size") == F.col("size2"))
-    out = rows.join(of(take.filter("held = 1")), same).select("row", "n")
-    several = checkpointed(take.filter("held > 1"))
+    rows = docs.select(F.struct("*").alias("row"), _placed(F.col(id_col), F.col(text_col)).alias("k"))
+    take = checkpointed(mix(docs, id_col, text_col, source_col, **options).select(*key, F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs")).alias("n")))
+    each = checkpointed(take.groupBy("k").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n")).filter("n > 0"))
+    out = rows.join(each.filter("held = 1").select("k", "n"), "k").select("row", "n")
+    several = checkpointed(take.join(each.filter("held > 1").select("k"), "k", "left_semi").groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held")))
     if several.first() is not None:
-        some = rows.filter(within(F.xxhash64("k"), sketch_of(several, F.xxhash64("k")))).join(of(several), same)
-        turn = F.row_number().over(W.partitionBy("k2", "source2", "size2").orderBy(F.col("row")[text_col], F.xxhash64(F.to_json("row"))))
+        some = rows.filter(within(F.xxhash64("k"), sketch_of(several, F.xxhash64("k")))).select("row", "k", F.col("row")[source_col].alias("source"), n_words(F.col("row")[text_col]).alias("size"))
+        some = some.join(several.withColumnRenamed("source", "source2"), ["k", "size"]).filter(F.col("source").eqNullSafe(F.col("source2")))
+        turn = F.row_number().over(W.partitionBy("k", "size", "source").orderBy(F.col("row")[text_col], F.xxhash64(F.to_json("row"))))
         some = some.withColumn("turn", turn)
         out = out.unionByName(some.select("row", (F.floor(F.col("n") / F.col("held")) + (F.col("turn") <= F.col("n") % F.col("held")).cast("long")).alias("n")))
     return out.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
