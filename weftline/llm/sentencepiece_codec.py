@@ -31,7 +31,7 @@ from weftline.llm.common import text_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Entries of a generation of a worker's memory, and the longest unit in it.
-REMEMBERED, LONGEST = 80_000, 48
+REMEMBERED, LONGEST = 120_000, 48
 
 
 class Memory:
