@@ -31,7 +31,7 @@ from weftline.llm.common import text_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Entries of a generation of a worker's memory, and the longest unit in it.
-REMEMBERED, LONGEST = 120_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 
 class Memory:
@@ -259,7 +259,7 @@ def _coded(docs: DataFrame, path: str | None, id_col: str, text_col: str) -> Dat
         # The worker may go on to other stages.
         c.forget()
 
-    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return text_batches(docs, 1000).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
