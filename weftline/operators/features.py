@@ -129,12 +129,11 @@ def _entities(labeled: DataFrame) -> DataFrame:
     return labeled.groupBy("source1_entity_id").agg(F.max("label").alias("stratum"))
 
 
-def split_by_entity(labeled: DataFrame, test_size: float = 0.2, seed: int = X.SEED) -> DataFrame:
-    """Adds ``split``: of each stratum, entities with the smallest keys are val, the others train.
+def _placed(labeled: DataFrame, seed: int) -> DataFrame:
+    """(source1_entity_id, stratum, place, all): the place, from 1, of each entity in its stratum of
+    ``all`` entities, by a hash of its id.
 
-    A key is a hash of the entity, so no entity is on both sides and reruns agree. Of n entities
-    floor(test_size * n + 0.5) are val. Ranks come from sums over hash ranges, so that a stratum is never
-    sorted in one task.
+    Places come from sums over hash ranges, so that a stratum is never sorted in one task.
     """
     keyed = _entities(labeled).withColumn("key", _order(seed)).withColumn("range", F.substring("key", 1, 3))
     sums = keyed.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("n"))
@@ -142,8 +141,17 @@ def split_by_entity(labeled: DataFrame, test_size: float = 0.2, seed: int = X.SE
     sums = sums.select("stratum", "range", before.alias("before"), F.sum("n").over(W.partitionBy("stratum")).alias("all"))
     rank = F.row_number().over(W.partitionBy("stratum", "range").orderBy("key", "source1_entity_id"))
     ranked = keyed.withColumn("rank", rank).join(sums, ["stratum", "range"])
-    val = F.col("rank") + F.col("before") <= F.floor(test_size * F.col("all") + 0.5)
-    return labeled.join(ranked.select("source1_entity_id", F.when(val, "val").otherwise("train").alias("split")), "source1_entity_id")
+    return ranked.select("source1_entity_id", "stratum", (F.col("rank") + F.col("before")).alias("place"), "all")
+
+
+def split_by_entity(labeled: DataFrame, test_size: float = 0.2, seed: int = X.SEED) -> DataFrame:
+    """Adds ``split``: of each stratum, entities with the smallest keys are val, the others train.
+
+    A key is a hash of the entity, so no entity is on both sides and reruns agree. Of n entities
+    floor(test_size * n + 0.5) are val.
+    """
+    val = F.col("place") <= F.floor(test_size * F.col("all") + 0.5)
+    return labeled.join(_placed(labeled, seed).select("source1_entity_id", F.when(val, "val").otherwise("train").alias("split")), "source1_entity_id")
 
 
 def check_no_leakage(labeled: DataFrame) -> None:
@@ -153,10 +161,10 @@ def check_no_leakage(labeled: DataFrame) -> None:
 
 
 def fold_of(labeled: DataFrame, n_splits: int = 5, seed: int = X.SEED) -> DataFrame:
-    """Adds ``fold``: entities go to folds by hash; entities with true pairs are dealt apart."""
-    h = F.xxhash64("source1_entity_id", F.lit(seed))
-    folds = _entities(labeled).select("source1_entity_id", F.pmod(h + F.col("stratum"), F.lit(n_splits)).cast("int").alias("fold"))
-    return labeled.join(folds, "source1_entity_id")
+    """Adds ``fold``: the entities of each stratum are dealt to the folds in turn, in hash order, so that
+    folds differ by at most one entity of a stratum."""
+    fold = F.pmod(F.col("place") - 1 + F.col("stratum"), F.lit(n_splits)).cast("int")
+    return labeled.join(_placed(labeled, seed).select("source1_entity_id", fold.alias("fold")), "source1_entity_id")
 
 
 def prepare_training_dataset(pairs: DataFrame, s1: DataFrame, s2: DataFrame, s3: DataFrame, truth: DataFrame, test_size: float = 0.2, seed: int = X.SEED) -> DataFrame:

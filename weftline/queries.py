@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ from weftline.operators import blocking, decide, features, metrics, models, repo
 from weftline.operators.blocking import PAIR
 from weftline.plans import oracle as O
 from weftline.plans import views
+from weftline.session import checkpointed, remove, shared_folder
+from weftline.sources import tsv
 from weftline.sources.tsv import parse_id_list
+from weftline.streaming import matcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,6 +346,15 @@ def entity_split(spark, d):
     return features.split_by_entity(label_pairs(spark, d)).select("source1_entity_id", "split").distinct()
 
 
+@query(
+    _with(O.OVERLAP, O.TRUTH)
+    + f"""SELECT source1_entity_id, ((row_number() OVER (PARTITION BY s ORDER BY md5(source1_entity_id || ':42'), source1_entity_id) - 1 + s) % 5)::INT AS fold
+      FROM (SELECT source1_entity_id, max((t.candidate_id IS NOT NULL)::INT) AS s FROM overlap o LEFT JOIN truth t USING ({_IDS}) WHERE o.c >= 2 GROUP BY ALL)"""
+)
+def entity_folds(spark, d):
+    return features.fold_of(label_pairs(spark, d)).select("source1_entity_id", "fold").distinct()
+
+
 _PRED = f"pred AS (SELECT {_IDS} FROM scored WHERE s >= 0.5)"
 _PER = f"""per AS (SELECT nt.source1_entity_id, n_true AS t, coalesce(any_value(x.p), 0) AS p, coalesce(any_value(x.h), 0) AS h FROM nt LEFT JOIN
   (SELECT source1_entity_id, count(*) AS p, count(truth.candidate_id) AS h FROM pred LEFT JOIN truth USING ({_IDS}) GROUP BY ALL) x USING (source1_entity_id) GROUP BY ALL)"""
@@ -430,6 +444,18 @@ def match_decision(spark, d):
     return out.select("source1_entity_id", F.array_join("ids", ",").alias("ids"))
 
 
+@query(
+    f"""{_SCORED}, {O.SORTED}, {_ACCEPTED}, {_RECOVERED}, f AS (SELECT {_IDS}, 0 AS late FROM accepted UNION ALL SELECT {_IDS}, 1 FROM recovered), g AS (SELECT f.* FROM f JOIN hood USING ({_IDS}))
+    SELECT source1_entity_id, coalesce(string_agg(candidate_id, ',' ORDER BY late, candidate_id), '') AS ids FROM s1 LEFT JOIN g USING (source1_entity_id) GROUP BY ALL"""
+)
+def constrained_decision(spark, d):
+    """As match_decision, within given candidates: the sorted neighbourhoods."""
+    s1, s2, s3 = views.entities(spark, d)
+    offered = blocking.sorted_neighborhood(s1, s2, s3)
+    out = decide.apply_decision(views.scored(spark, d), s1, s2, s3, offered, base_threshold=0.4, borderline_threshold=0.2, transitive_sim_threshold=0.6)
+    return out.select("source1_entity_id", F.array_join("ids", ",").alias("ids"))
+
+
 # --- lookup --------------------------------------------------------------------------------------
 
 _INDEX = f"""post AS MATERIALIZED (SELECT country AS route, src, entity_id, unnest(list_distinct(list_filter(list_transform({O.words_of("(business_name || ' ' || business_address)")}, lambda t: {O.fold("lower(t)")}), lambda t: t <> ''))) AS t FROM e WHERE src > 1),
@@ -519,6 +545,143 @@ def gbt_scores(spark, d):
     return models.score(model, rows).select(*PAIR, "label", "split", "match_probability")
 
 
+# --- files ---------------------------------------------------------------------------------------
+# Tables are written to the shared folder, read back and compared with what they were made from.
+
+
+@contextmanager
+def _folder(spark: SparkSession) -> Iterator[str]:
+    path = f"{shared_folder(spark)}/files-{uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
+def _write_sources(tables, folder: str, stage: str) -> None:
+    for k, table in enumerate(tables, 1):
+        tsv.write_entities(table, f"{folder}/{stage}_source{k}.tsv")
+
+
+_FIELDS = "entity_id, business_name, business_address, coalesce(country, '') AS country"
+
+
+@query(_with() + f"SELECT {_FIELDS}, 'source' || src AS name FROM e")
+def entity_files(spark, d):
+    with _folder(spark) as folder:
+        _write_sources(views.entities(spark, d), folder, "test")
+        found = tsv.load_test_data(spark, folder)
+        return checkpointed(blocking.union_sources(*(t.withColumn("name", F.lit(k)) for k, t in found.items())))
+
+
+@query(_with() + "SELECT entity_id FROM e WHERE src = 2")
+def entity_id_column(spark, d):
+    with _folder(spark) as folder:
+        _write_sources(views.entities(spark, d), folder, "test")
+        return checkpointed(tsv.read_columns(spark, f"{folder}/test_source2.tsv", "entity_id"))
+
+
+@query(
+    _with(O.TRUTH)
+    + """SELECT 'train' AS bundle, s1.source1_entity_id, coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id), '') AS ids FROM s1 LEFT JOIN truth USING (source1_entity_id) GROUP BY ALL
+      UNION ALL SELECT 'test', entity_id, '' FROM e WHERE src = 3"""
+)
+def training_files(spark, d):
+    """The true lists of the training bundle, and the third table of the test bundle."""
+    with _folder(spark) as folder:
+        tables = views.entities(spark, d)
+        _write_sources(tables, folder, "train")
+        _write_sources(tables, folder, "test")
+        lists = views.truth(spark, d).withColumnRenamed("matched_entity_ids", "ids")
+        tsv.write_submission(lists, tsv.with_ordinal(tables[0]), "matched_entity_ids", f"{folder}/train_ground_truth.tsv")
+        found = tsv.load_all_data(spark, folder, folder)
+        train = found["train_ground_truth"].select(F.lit("train").alias("bundle"), "source1_entity_id", F.array_join("matched_entity_ids", ",").alias("ids"))
+        return checkpointed(train.unionByName(found["test_source3"].select(F.lit("test").alias("bundle"), F.col("entity_id").alias("source1_entity_id"), F.lit("").alias("ids"))))
+
+
+@query(_with(O.OVERLAP) + f"SELECT {_IDS} FROM overlap WHERE c >= 2")
+def candidate_file(spark, d):
+    with _folder(spark) as folder:
+        tsv.write_candidates(token_overlap_block(spark, d), f"{folder}/candidate_pairs.tsv")
+        return checkpointed(tsv.read_candidates(spark, folder))
+
+
+@query(
+    _with(O.SORTED, O.TRUTH)
+    + """SELECT row_number() OVER (ORDER BY source1_entity_id) AS line, * FROM (
+      SELECT s1.source1_entity_id, coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id), '') AS ids FROM s1 LEFT JOIN hood USING (source1_entity_id) GROUP BY ALL)"""
+)
+def submission_file(spark, d):
+    """A list for every master row, in the order given; the one file is read in line order."""
+    with _folder(spark) as folder:
+        s1, s2, s3 = views.entities(spark, d)
+        order = s1.select(F.col("entity_id").alias("source1_entity_id"), F.col("entity_id").alias("ordinal"))
+        lists = blocking.candidate_lists(s1, blocking.sorted_neighborhood(s1, s2, s3))
+        tsv.write_submission(lists, order, "matched_entity_ids", f"{folder}/matching_results.tsv")
+        rows = tsv.read_ground_truth(spark, f"{folder}/matching_results.tsv").coalesce(1)
+        return checkpointed(rows.select((F.monotonically_increasing_id() + 1).alias("line"), "source1_entity_id", F.array_join("matched_entity_ids", ",").alias("ids")))
+
+
+@query(_with(addressed=True) + f"SELECT {_FIELDS}, nn AS business_name_norm, na AS business_address_norm, lm AS has_landmark, pc AS address_pincode FROM n")
+def normalized_file(spark, d):
+    with _folder(spark) as folder:
+        tsv.write_normalized(_all(spark, d), f"{folder}/normalized.tsv")
+        return checkpointed(tsv.read_normalized(spark, f"{folder}/normalized.tsv"))
+
+
+@query(ORACLES["label_pairs"])
+def labeled_file(spark, d):
+    with _folder(spark) as folder:
+        tsv.save_labeled(label_pairs(spark, d), f"{folder}/labeled.parquet")
+        return checkpointed(tsv.load_labeled(spark, f"{folder}/labeled.parquet"))
+
+
+@query("SELECT 15::BIGINT AS top_k, 0.675::DOUBLE AS match_threshold")
+def params_file(spark, d):
+    with _folder(spark) as folder:
+        path = f"{folder}/params.json"
+        tsv.save_params(spark, {"top_k": 15, "match_threshold": 0.5}, path)
+        tsv.update_threshold(spark, 0.675, path)
+        found = tsv.load_params(spark, path)
+    return spark.createDataFrame([(found["top_k"], found["match_threshold"])], "top_k bigint, match_threshold double")
+
+
+@query(
+    _with(O.SORTED, O.TRUTH)
+    + f"""SELECT 'as found' AS submission, 'PASS' AS verdict
+      UNION ALL SELECT 'with itself', 'matches: ' || replace('{validate.MESSAGES["self"]}', '{{}}', min(source1_entity_id)) FROM s1"""
+)
+def submission_check(spark, d):
+    """The verdict on written lists of neighbours, and on the same with each entity in its own list."""
+    with _folder(spark) as folder:
+        tables = views.entities(spark, d)
+        _write_sources(tables, folder, "test")
+        order = tsv.with_ordinal(tables[0])
+        lists = checkpointed(blocking.candidate_lists(tables[0], blocking.sorted_neighborhood(*tables)))
+        tsv.write_id_lists(lists, order, "candidate_entity_ids", f"{folder}/candidates.tsv")
+        broken = lists.withColumn("ids", F.concat("ids", F.array("source1_entity_id")))
+        verdicts = []
+        for name, matches in (("as found", lists), ("with itself", broken)):
+            tsv.write_submission(matches, order, "matched_entity_ids", f"{folder}/matches.tsv")
+            try:
+                validate.validate_submission(spark, f"{folder}/matches.tsv", f"{folder}/candidates.tsv", folder)
+                verdicts.append((name, "PASS"))
+            except ValueError as e:
+                verdicts.append((name, str(e)))
+    return spark.createDataFrame(verdicts, "submission string, verdict string")
+
+
+@query(ORACLES["rule_score_match"])
+def streamed_rule_match(spark, d):
+    """The rule matcher over a stream of the master table's files."""
+    with _folder(spark) as folder:
+        s1, s2, s3 = views.entities(spark, d, True)
+        tsv.write_entities(s1, f"{folder}/in")
+        matcher.match_stream(matcher.read_stream(spark, f"{folder}/in"), s2, s3, f"{folder}/out", f"{folder}/state", stemming=False).awaitTermination()
+        rows = spark.read.parquet(f"{folder}/out")
+        return checkpointed(rows.select(*PAIR, F.round("score", 6).alias("score")))
+
+
 # --- checks and reports --------------------------------------------------------------------------
 
 _BROKEN = f"""m AS (SELECT source1_entity_id, ids || CASE WHEN k % 7 = 0 THEN [source1_entity_id] WHEN k % 7 = 1 THEN ids[1:1] WHEN k % 7 = 2 THEN ['S9-0'] ELSE [] END AS ids
@@ -624,6 +787,6 @@ def progress(spark, d):
     return reports.progress(views.scored(spark, d), _accepted(spark, d))
 
 
-@query()
+@query(_with() + "SELECT entity_id, business_name, business_address, country, src FROM e ORDER BY md5(entity_id || ':42'), entity_id LIMIT 10")
 def hash_sample(spark, d):
     return reports.hash_sample(views.all_entities(spark, d).drop("text"), F.col("entity_id"))

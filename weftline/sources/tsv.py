@@ -114,6 +114,11 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="", lineSep="\n", escapeQuotes=False)
 
 
+def write_entities(df: DataFrame, path: str) -> None:
+    """An entity table; nulls become empty fields."""
+    _write(df.select(*ENTITY_COLUMNS), path)
+
+
 def write_id_lists(lists: DataFrame, order: DataFrame, column: str, path: str) -> None:
     """One line per row of ``order`` (source1_entity_id, ordinal), in its order; missing lists are empty.
 
