@@ -293,3 +293,17 @@ def test_stream(spark, tables, tmp_path):
     assert q.exception() is None
     want = pairs_of(retrieval.rule_matches(s1, s2, s3))
     assert pairs_of(spark.read.parquet(str(tmp_path / "out"))) == want and ("S1-001", "S2-001") in want
+
+
+def test_folds_differ_by_one_entity_of_a_stratum(spark):
+    rows = spark.createDataFrame([(f"e{i}", f"c{j}", int(i % 3 == 0 and j == 0)) for i in range(31) for j in range(2)], "source1_entity_id string, candidate_id string, label int")
+    dealt = features.fold_of(rows, 4)
+    assert dealt.count() == 62
+    assert dealt.select("source1_entity_id", "fold").distinct().count() == 31
+    sizes = {}
+    for i, fold in dealt.select("source1_entity_id", "fold").distinct().collect():
+        key = int(i[1:]) % 3 == 0, fold
+        sizes[key] = sizes.get(key, 0) + 1
+    for stratum in (True, False):
+        of = [sizes.get((stratum, f), 0) for f in range(4)]
+        assert max(of) - min(of) <= 1
