@@ -58,16 +58,17 @@ def threshold_sweep(scored: DataFrame, truth: DataFrame, entities: DataFrame | N
     """Macro metrics at each threshold, rounded to four places.
 
     Every pair is read once: per entity, counts at each threshold are sums of comparisons, so that pairs
-    are never multiplied by thresholds. Entities without pairs count as predicting nothing.
+    are never multiplied by thresholds. Entities without pairs count as predicting nothing. Where ``scored``
+    has a boolean column ``hit``, it tells the true pairs, and pairs are not joined with the truth.
     """
     edges = truth.select("source1_entity_id", F.explode(clean_ids(F.col("matched_entity_ids"))).alias("candidate_id")).withColumn("hit", F.lit(1))
     sizes = truth.select("source1_entity_id", F.size(clean_ids(F.col("matched_entity_ids"))).alias("n_true"))
     if entities is not None:
         sizes = sizes.join(entities.select("source1_entity_id").distinct(), "source1_entity_id", "left_semi")
-    marked = scored.join(edges, list(PAIR), "left")
+    marked = scored if "hit" in scored.columns else scored.join(edges, list(PAIR), "left").withColumn("hit", F.col("hit").isNotNull())
     counts = marked.groupBy("source1_entity_id").agg(
         F.array(*(F.sum((F.col("match_probability") >= t).cast("int")) for t in thresholds)).alias("pred"),
-        F.array(*(F.sum(((F.col("match_probability") >= t) & F.col("hit").isNotNull()).cast("int")) for t in thresholds)).alias("hits"),
+        F.array(*(F.sum(((F.col("match_probability") >= t) & F.col("hit")).cast("int")) for t in thresholds)).alias("hits"),
     )
     rows = sizes.join(counts, "source1_entity_id", "left")
     ts = F.array(*map(F.lit, thresholds))
