@@ -156,6 +156,17 @@ def test_large_groups_meet_as_one_pair_of_classes(spark, monkeypatch):
     assert {r["n"] for r in shared.collect()} == {3}
 
 
+def test_union_of_strategies_does_not_compare_pairs_that_share_tokens(spark, many):
+    roaming = [t.unionByName(t.limit(5).withColumn("country", F.lit("Peru"))) for t in many]
+    for s1, s2, s3 in (many, roaming):
+        rest = s2.unionByName(s3)
+        parts = (blocking.tfidf_neighbors(s1, rest, 3), blocking.sorted_neighborhood(s1, s2, s3, 4), blocking.token_overlap(s1, rest))
+        got = blocking.generate_candidates(s1, s2, s3, 3, 4)
+        assert pairs_of(got) == sorted({p for part in parts for p in pairs_of(part)})
+    plain = blocking.generate_candidates(*many, 3, 4)._jdf.queryExecution().optimizedPlan()
+    assert plain.nodeName() == "Union"
+
+
 def test_nearest_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(features, "VECTORS", 4)
     v = {i: ([1.0, 0.0] if i % 3 else [math.cos(i), math.sin(i)], i % 2) for i in range(24)}
