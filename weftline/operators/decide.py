@@ -17,7 +17,9 @@ def base_filter(scored: DataFrame, threshold: float = X.MATCH_THRESHOLD, score:
 
 
 def relative_margin(accepted: DataFrame, ratio: float = X.MARGIN_RATIO, score: str = "match_probability") -> DataFrame:
-    """Rows with at least ``ratio`` of the best accepted score of their master row."""
+    """Rows with at least ``ratio`` of the best accepted score of their master row, which a column ``best`` may tell."""
+    if "best" in accepted.columns:
+        return accepted.filter(F.col(score) >= ratio * F.col("best"))
     best = F.max(score).over(W.partitionBy("source1_entity_id"))
     return accepted.withColumn("_best", best).filter(F.col(score) >= ratio * F.col("_best")).drop("_best")
 
@@ -60,14 +62,21 @@ def apply_decision(
 ) -> DataFrame:
     """(source1_entity_id, ids) for every master row: accepted ids in order, then recovered ones."""
     accepted = relative_margin(base_filter(scored, base_threshold), margin_ratio).select(*PAIR)
-    found = accepted.withColumn("late", F.lit(0))
-    if recovery:
-        more = transitive_recovery(scored, accepted, s2, s3, borderline_threshold, transitive_sim_threshold)
-        found = found.unionByName(more.withColumn("late", F.lit(1)))
+    more = transitive_recovery(scored, accepted, s2, s3, borderline_threshold, transitive_sim_threshold) if recovery else None
     if candidates is not None:
-        found = found.join(candidates.select(*PAIR), list(PAIR), "left_semi")
-    found = found.filter("candidate_id <> source1_entity_id").groupBy(*PAIR).agg(F.min("late").alias("late"))
-    return match_lists(s1, found)
+        accepted, more = (t if t is None else t.join(candidates.select(*PAIR), list(PAIR), "left_semi") for t in (accepted, more))
+    return accepted_lists(s1, accepted, more)
+
+
+def accepted_lists(s1: DataFrame, accepted: DataFrame, recovered: DataFrame | None = None) -> DataFrame:
+    """(source1_entity_id, ids) for every master row: accepted ids in order, then recovered ones, without the row's own.
+
+    Repeats go where the lists are made, so that pairs are shuffled once.
+    """
+    found = accepted.select(*PAIR, F.lit(0).alias("late"))
+    if recovered is not None:
+        found = found.unionByName(recovered.select(*PAIR, F.lit(1).alias("late")))
+    return match_lists(s1, found.filter("candidate_id <> source1_entity_id")).withColumn("ids", F.array_distinct("ids"))
 
 
 def match_lists(s1: DataFrame, found: DataFrame) -> DataFrame:

@@ -94,3 +94,11 @@ def progress(scored: DataFrame, matches: DataFrame) -> DataFrame:
     a = scored.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("source1_entity_id").alias("with_candidates"))
     b = matches.agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("source1_entity_id").alias("with_matches"))
     return a.crossJoin(F.broadcast(b))  # two single rows
+
+
+def progress_of_masters(masters: DataFrame, matches: DataFrame) -> DataFrame:
+    """:func:`progress` from one row per master row with candidates: their number ``n`` and the score of its
+    best match, ``best``, null without one. Matches are only counted."""
+    a = masters.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count(F.lit(1)).alias("with_candidates"), F.count("best").alias("with_matches"))
+    b = matches.agg(F.count(F.lit(1)).alias("matches"))
+    return a.crossJoin(F.broadcast(b)).select("pairs", "with_candidates", "matches", "with_matches")  # two single rows
