@@ -277,6 +277,34 @@ def test_long_lists_of_lines(spark, monkeypatch):
             assert sorted(map(tuple, line_dedup.cut_lines(df).collect())) == want
 
 
+def test_lines_that_repeat_are_left_out_before_words_are_taken(spark):
+    docs = spark.createDataFrame([(i, f"same line in all\nown {i} a b c\nsame line in all") for i in range(50)], "doc long, text string")
+    whole = line_dedup._whole(docs)
+    lines = line_dedup._first_lines(line_dedup._lines(docs), whole, line_dedup._firsts(whole))
+    assert Counter(r["line"] for r in lines.collect()) == Counter(["same line in all"] + [f"own {i} a b c" for i in range(50)])
+
+
+def test_lines_of_unequal_size(spark, monkeypatch):
+    """Lines at and about the bound, longer and shorter than an earlier one, against brute force."""
+    rng = random.Random(4)
+    base = [[f"b{k}w{i}" for i in range(n)] for k, n in enumerate((5, 8, 9, 10, 27, 40, 90))]
+    rows = []
+    for i in range(160):
+        v = list(rng.choice(base))
+        cut = rng.randint(0, max(1, len(v) // 6))
+        v = rng.sample(v, len(v) - cut) + [f"x{rng.randrange(30)}" for _ in range(rng.randint(0, max(1, len(v) // 7)))]
+        rows.append((i, rng.choice([" ", "\t", " \x0b"]).join(v)))
+    sets = [frozenset(t.split()) for _, t in rows]
+    want = {i: any(10 * len(w & v) >= 8 * len(w | v) for v in sets[:i]) for i, w in enumerate(sets)}
+    assert 20 < sum(want.values()) < 140
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({}, {"LONG": 1, "BUCKETS": 16, "ONE": 4, "TWO": 9}):
+        with monkeypatch.context() as m:
+            for name, value in sizes.items():
+                m.setattr(line_dedup, name, value)
+            assert {r["doc_id"]: r["n_removed"] == 1 for r in line_dedup.cut_lines(df).collect()} == want
+
+
 def test_quality(docs, rows, none):
     got = quality.verdicts(docs).collect()
     assert len(got) == len(rows)

@@ -3,17 +3,19 @@
 A line is removed if an earlier line of the corpus (by document, then by place) has word sets of Jaccard
 similarity of at least 0.8; lines are judged on the input, not on what is left.
 
-1. Lines of equal text are one class, held by its earliest line.
+1. Lines of equal text are one class, held by its earliest line. Later lines are left out by sketches of places;
+   one that slips through matches the first line of its class and changes nothing.
 2. Words are ordered by rarity. Counts of all words go into a table of BUCKETS numbers, whatever the size
    of the vocabulary; words of one bucket share a rank and are ordered by hash. Any fixed order gives
    the same result, a rarer-first order just gives short lists.
 3. Two similar lines share a word of their prefixes in this order. A posting is a prefix word with the
    line's size, the word's position in it and bit signatures of the line.
-4. First round: in each list a line is held against the list's first line and the one before it, so that
-   a group of any size costs two pairs a posting. One earlier match settles a line.
-5. Second round: the lists are joined for lines that are not settled, under the length filter, the
-   positional filter (their first shared word leaves room for the overlap only if it stands early enough
-   in both) and the signatures. No pair that could match is left out, so no match is lost.
+4. First round: in the lists of the words with a line's least and greatest hash, which similar lines mostly
+   share, and in long lists of prefix words, a line is held against the list's first line and the one before
+   it, so that a group of any size costs two pairs a posting. One earlier match settles a line.
+5. Second round: the lists of all prefix words are joined for lines that are not settled, under the positional
+   filter (their first shared word leaves room for the overlap only if it stands early enough in both, which
+   includes the length filter) and the signatures. No pair that could match is left out, so no match is lost.
 6. Jaccard is verified on the words themselves in both rounds.
 
 All steps are DataFrame expressions.
@@ -21,20 +23,28 @@ All steps are DataFrame expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.common import SPACES, WORD_GAP, checkpointed, one_bit, sketch_of, within
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
+#: Ranks are logarithms of counts to the base 2, times this. Numbers up to 127 are quick to look up.
+STEPS = 4
 #: A list that may have more postings than this, and than four times the mean, is dealt to several tasks
 #: in the first round.
 PER_TASK = 1 << 14
+#: A list of a prefix word that may have more postings than this, and than four times the mean, takes part in
+#: the first round.
+LONG = 1 << 10
 #: Lines of up to so many words have a signature of one number, or of two; others of four.
 ONE, TWO = 64, 200
 _LAST = (1 << 63) - 1
-_NEVER = 1 << 30
+#: Marks the positions of settled lines.
+_SETTLED = 1 << 30
 _SIGNATURE = ("s0", "s1", "s2", "s3")
 _ENTRY = ("doc", "at", "pos", *_SIGNATURE)
 
@@ -58,64 +68,93 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(_worded(F.col("line")))
 
 
-def _words(line: str) -> Column:
-    return F.array_remove(F.split(line, WORD_GAP), "")
+def _words(line: Column) -> Column:
+    """The words of a line; few lines have other separators than spaces, and a split at a pattern is slow."""
+    split = F.when(F.rlike(line, F.lit(r"[\x09-\x0D]")), F.split(line, WORD_GAP)).otherwise(F.split(line, " "))
+    return F.array_remove(split, "")
 
 
-def _ranks(docs: DataFrame) -> list[int]:
-    """For each bucket, 200 times the logarithm of the count of its words; BUCKETS numbers."""
-    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]")).alias("w")).filter("w <> ''")
+def _ranks(lines: DataFrame) -> list[int]:
+    """For each bucket, STEPS times the logarithm of the count of its words; BUCKETS numbers."""
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * BUCKETS
-    for row in counts.select("b", F.floor(200 * F.log2(F.col("n") + 1)).cast("int").alias("rank")).toLocalIterator():
+    for row in counts.select("b", F.floor(STEPS * F.log2(F.col("n") + 1)).cast("int").alias("rank")).toLocalIterator():
         out[row["b"]] = row["rank"]
     return out
 
 
+def _firsts(whole: DataFrame) -> DataFrame:
+    """(k1, k2, doc, ln, held): of each class the earliest place and the number of places."""
+    keyed = whole.select("doc", F.explode("keys").alias("x")).select("doc", "x.*")
+    firsts = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "ln")).alias("first"), F.count(F.lit(1)).alias("held"))
+    return checkpointed(firsts.select("k1", "k2", "first.doc", "first.ln", "held"))
+
+
+def _first_lines(lines: DataFrame, whole: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The lines without those whose text an earlier line has; few of these stay."""
+    place = F.xxhash64("doc", "ln")
+    keyed = whole.select("doc", F.explode("keys").alias("x")).select("doc", "x.*")
+    several = firsts.filter("held > 1")
+    again = keyed.filter(within(F.col("k1"), sketch_of(several, F.col("k1")))).join(several.select("k1", "k2", F.struct("doc", "ln").alias("first")), ["k1", "k2"])
+    later = within(place, sketch_of(checkpointed(again.filter(F.col("first") < F.struct("doc", "ln")).select("doc", "ln")), place))
+    both = checkpointed(firsts.filter(later).select("doc", "ln"))
+    # Another hash: keys that share a bit in one sketch should not share one in the next.
+    other = F.xxhash64("ln", "doc")
+    return lines.filter(~later | within(other, sketch_of(both, other)))
+
+
 def _classes(lines: DataFrame, ranks: list[int]) -> DataFrame:
-    """(doc, ln, n, s0 .. s3, prefix): one row per distinct line, at its earliest place."""
+    """(doc, ln, n, s0 .. s3, ends, prefix) of each line; ``ends`` are the words with its least and greatest hash."""
     # A literal: as a subquery the table would be copied into every row.
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
     none = F.lit(0).cast("long")
-    rank = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), none), 50)
-    hashes = F.transform(_words("line"), lambda w: F.xxhash64(w))
-    v = F.sort_array(F.array_distinct(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 14)))))
-    coded = lines.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("#"), F.col("line")).alias("k2"), F.struct("doc", "ln").alias("first"), v.alias("v"))
+    code = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), none), 50).bitwiseOR(F.shiftrightunsigned(h, 14))
+    coded = lines.select("doc", "ln", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    ends = F.array(code(F.array_min("h")), code(F.array_max("h"))).alias("ends")
+    coded = coded.select("doc", "ln", ends, F.sort_array(F.transform("h", code)).alias("v"))
     n = F.size("v")
-    signed = lambda of: F.aggregate("v", none, lambda a, x: a.bitwiseXOR(of(x)))
-    part = lambda bits, k: signed(lambda x: F.when(F.shiftright(x, 12).bitwiseAND(bits) == k, one_bit(x)).otherwise(none))
-    coded = coded.select(
-        "k1",
-        "k2",
-        "first",
-        n.alias("n"),
-        F.when(n <= ONE, signed(one_bit)).when(n <= TWO, part(2, 0)).otherwise(part(3, 0)).alias("s0"),
-        F.when(n <= TWO, none).otherwise(part(3, 1)).alias("s1"),
-        F.when(n <= ONE, none).when(n <= TWO, part(2, 2)).otherwise(part(3, 2)).alias("s2"),
-        F.when(n <= TWO, none).otherwise(part(3, 3)).alias("s3"),
+    # Bits of the words that have all bits of ``of``; without them, of all words.
+    signed = lambda *of: F.aggregate("v", none, lambda a, x: a.bitwiseXOR(_bit_if(x, of)))
+    coded = coded.select("doc", "ln", "ends", n.alias("n"), signed().alias("x"), F.when(n > ONE, signed(13)).alias("x1"), F.when(n > TWO, signed(12)).alias("x2"), F.when(n > TWO, signed(12, 13)).alias("x3"), "v")
+    # Parts that do not overlap, from those that do.
+    x, x1, x2, x3 = (F.col(k) for k in ("x", "x1", "x2", "x3"))
+    return coded.select(
+        "doc",
+        "ln",
+        "n",
+        F.when(n <= ONE, x).when(n <= TWO, x.bitwiseXOR(x1)).otherwise(x.bitwiseXOR(x1).bitwiseXOR(x2).bitwiseXOR(x3)).alias("s0"),
+        F.when(n <= TWO, none).otherwise(x2.bitwiseXOR(x3)).alias("s1"),
+        F.when(n <= ONE, none).when(n <= TWO, x1).otherwise(x1.bitwiseXOR(x3)).alias("s2"),
+        F.when(n <= TWO, none).otherwise(x3).alias("s3"),
+        "ends",
         F.slice("v", 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"),
     )
-    rows = coded.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.first(F.struct("n", *_SIGNATURE, "prefix")).alias("x"))
-    return rows.select("first.doc", "first.ln", "x.*")
+
+
+def _bit_if(x: Column, of: tuple[int, ...]) -> Column:
+    """The long with the bit that the last six bits of x name, or 0 where x lacks one of the bits ``of``."""
+    one = F.lit(1).cast("long")
+    for k in of:
+        one = F.shiftright(x, k).bitwiseAND(one)
+    return F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+
+
+def _at() -> Column:
+    return F.shiftleft(F.col("ln").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("at")
 
 
 def _postings(classes: DataFrame, *more: str) -> DataFrame:
-    """(t, doc, at, pos, s0 .. s3): a word of a line's prefix; ``at`` holds the line's place and its size."""
-    at = F.shiftleft(F.col("ln").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    return classes.select(F.posexplode("prefix").alias("pos", "t"), "doc", at.alias("at"), *_SIGNATURE, *more)
+    """(pos, t, doc, at, s0 .. s3): a word of a line's prefix; ``at`` holds the line's place and its size."""
+    return classes.select(F.posexplode("prefix").alias("pos", "t"), "doc", _at(), *_SIGNATURE, *more)
 
 
 def _size(a: str) -> Column:
     return F.col(f"{a}.at").bitwiseAND((1 << 32) - 1)
 
 
-def _overlap(a: str, b: str) -> Column:
-    """The least overlap of similar sets: 4/9 of the sum of their sizes."""
-    return F.ceil((_size(a) + _size(b)) * 4 / 9)
-
-
 def _near(a: str, b: str) -> Column:
-    """Whether sizes and signatures leave room for similarity 0.8.
+    """Whether the signatures leave room for similarity 0.8: such sets differ in a ninth of the sum of their sizes at most.
 
     Sets differ in no more words than signatures in bits; a signature of several numbers is folded where
     the other has fewer.
@@ -125,12 +164,16 @@ def _near(a: str, b: str) -> Column:
     low, high = x[0].bitwiseXOR(x[1]), x[2].bitwiseXOR(x[3])
     least = F.least(n, m)
     differ = F.when(least <= ONE, F.bit_count(low.bitwiseXOR(high))).when(least <= TWO, F.bit_count(low) + F.bit_count(high)).otherwise(sum((F.bit_count(y) for y in x), F.lit(0)))
-    return (5 * least >= 4 * F.greatest(n, m)) & (differ <= n + m - 2 * _overlap(a, b))
+    return 9 * differ <= n + m
 
 
 def _early(a: str, i: Column, b: str, j: Column) -> Column:
-    """Whether the first word that two lines share, at ``i`` and ``j``, leaves room for the overlap."""
-    return 1 + F.least(_size(a) - 1 - i, _size(b) - 1 - j) >= _overlap(a, b)
+    """Whether the first word that two lines share, at ``i`` and ``j``, leaves room for the overlap.
+
+    Similar sets share 4/9 of the sum of their sizes at least. With i and j 0 this is the length filter.
+    """
+    n, m = _size(a), _size(b)
+    return 9 * F.least(n - i, m - j) >= 4 * (n + m)
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -141,15 +184,21 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 def _first_pairs(classes: DataFrame, ranks: list[int]) -> DataFrame:
     """Each line of a list with the list's first line and with the one before it, where they may match."""
-    counts = [2 ** ((r + 1) / 200) for r in ranks]
-    most = max(PER_TASK, 4 * sum(counts) / BUCKETS)
+    counts = [2 ** ((r + 1) / STEPS) for r in ranks]
+    mean = sum(counts) / BUCKETS
+    most = max(PER_TASK, 4 * mean)
     # The bucket's count bounds the list.
-    part = F.pmod(F.xxhash64("doc", "at"), F.ceil(F.pow(F.lit(2.0), (F.shiftright("t", 50) + 1) / 200) / most))
-    rows = _postings(classes).withColumn("part", part).repartition("t", "part").select("t", "part", F.struct(*_ENTRY).alias("a"))
+    part = F.pmod(F.xxhash64("doc", "at"), F.ceil(F.pow(F.lit(2.0), (F.shiftright("t", 50) + 1) / STEPS) / most))
+    often = F.lit(int(STEPS * math.log2(max(LONG, 4 * mean))) << 50).cast("long")
+    # A prefix is in order: its long lists come last.
+    rows = _postings(classes.filter(F.element_at("prefix", -1) >= often)).filter(F.col("t") >= often)
+    rows = rows.unionByName(classes.select(F.lit(0).alias("pos"), F.explode("ends").alias("t"), "doc", _at(), *_SIGNATURE))
+    rows = rows.withColumn("part", part).repartition("t", "part").select("t", "part", F.struct(*_ENTRY).alias("a"))
     own = W.partitionBy("t", "part").orderBy("a.doc", "a.at")
     rows = rows.select("a", F.first("a").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head"), F.lag("a").over(own).alias("last"))
     rows = rows.filter("last is not null").select("a", F.explode(F.array_distinct(F.array("head", "last"))).alias("b"))
-    return _ids(rows.filter(_near("a", "b") & _early("a", F.col("a.pos"), "b", F.col("b.pos"))))
+    earlier = F.struct("b.doc", "b.at") < F.struct("a.doc", "a.at")  # a word may be listed twice for a line
+    return _ids(rows.filter(_early("a", F.lit(0), "b", F.lit(0)) & earlier & _near("a", "b")))
 
 
 def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
@@ -157,12 +206,17 @@ def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
     mark = within(F.xxhash64("doc", "ln"), sketch_of(settled, F.xxhash64("doc", "ln")))
     some = classes.filter(mark).join(settled.withColumn("s", F.lit(True)), ["doc", "ln"], "left")
     classes = classes.filter(~mark).withColumn("s", F.lit(False)).unionByName(some.withColumn("s", F.coalesce("s", F.lit(False))))
-    # A settled line asks at a position that leaves no room. Both sides use the same columns, so that
-    # they are shuffled once; a list of very many lines is split where the join is skewed.
-    rows = _postings(classes, "s").withColumn("pos", F.col("pos").bitwiseOR(F.when(F.col("s"), _NEVER).otherwise(0))).drop("s")
-    earlier = F.struct("b.doc", "b.at") < F.struct("a.doc", "a.at")
-    early = _early("a", F.col("a.pos"), "b", F.col("b.pos").bitwiseAND(_NEVER - 1))
-    return _ids(rows.alias("a").join(rows.alias("b"), (F.col("a.t") == F.col("b.t")) & earlier & early & _near("a", "b")))
+    rows = _postings(classes, "s").withColumn("pos", F.col("pos").bitwiseOR(F.when(F.col("s"), _SETTLED).otherwise(0))).drop("s")
+    # Of two similar lines, the first word that they share stands in the first ninth of the one that is no
+    # longer. Lists are joined with these words only; one of very many lines is split where the join is skewed.
+    place = lambda x: F.col(x).bitwiseAND(_SETTLED - 1)
+    short = rows.filter(9 * place("pos") <= F.col("at").bitwiseAND((1 << 32) - 1))
+    n, m = _size("a"), _size("b")
+    before = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.at") < F.col("a.at")))
+    asks = F.when(before, F.col("a.pos")).otherwise(F.col("b.pos")) < _SETTLED
+    match = (F.col("a.t") == F.col("b.t")) & (m <= n) & _early("a", place("a.pos"), "b", place("b.pos")) & ((m < n) | before) & asks & _near("a", "b")
+    pairs = rows.alias("a").join(short.alias("b"), match).select(F.when(before, F.struct("a.doc", "a.at")).otherwise(F.struct("b.doc", "b.at")).alias("a"), F.when(before, F.struct("b.doc", "b.at")).otherwise(F.struct("a.doc", "a.at")).alias("b"))
+    return _ids(pairs)
 
 
 def _matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -178,23 +232,25 @@ def _matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(both.filter(10 * shared >= 8 * (F.size("x") + F.size("y") - shared)).select("doc", "ln").distinct())
 
 
-def _late_lines(docs: DataFrame) -> DataFrame:
+def _late_lines(docs: DataFrame, classes: DataFrame, ranks: list[int]) -> DataFrame:
     """(doc, ln) of the distinct lines, at their first place, that an earlier line matches."""
-    ranks = _ranks(docs)
-    classes = checkpointed(_classes(_lines(docs), ranks))
     settled = _matches(docs, _first_pairs(classes, ranks))
     return settled.unionByName(_matches(docs, _other_pairs(classes, settled)))
 
 
 def _to_remove(docs: DataFrame, whole: DataFrame) -> DataFrame:
     """(doc, lns): the places of the lines to remove, of documents that have any."""
-    late = _late_lines(docs).withColumn("late", F.lit(True))
-    keyed = whole.select("doc", F.explode("keys").alias("x")).select("doc", "x.*")
-    firsts = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "ln")).alias("first"), F.count(F.lit(1)).alias("held"))
+    firsts = _firsts(whole)
+    lines = _first_lines(_lines(docs), whole, firsts)
+    ranks = _ranks(lines)
+    late = _late_lines(docs, checkpointed(_classes(lines, ranks)), ranks).withColumn("late", F.lit(True))
+    late = checkpointed(late)
     # A class matters if it goes as a whole, or if it has lines after its first.
-    firsts = firsts.select("k1", "k2", F.col("first.doc").alias("doc"), F.col("first.ln").alias("ln"), "held").join(late, ["doc", "ln"], "left")
-    firsts = firsts.filter("late or held > 1").select("k1", "k2", F.struct("doc", "ln").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
-    gone = keyed.join(firsts, ["k1", "k2"]).filter(F.col("late") | (F.col("first") < F.struct("doc", "ln")))
+    some = firsts.filter((F.col("held") > 1) | within(F.xxhash64("doc", "ln"), sketch_of(late, F.xxhash64("doc", "ln"))))
+    some = some.join(late, ["doc", "ln"], "left").filter("late or held > 1")
+    some = checkpointed(some.select("k1", "k2", F.struct("doc", "ln").alias("first"), F.coalesce("late", F.lit(False)).alias("late")))
+    keyed = whole.select("doc", F.explode("keys").alias("x")).select("doc", "x.*").filter(within(F.col("k1"), sketch_of(some, F.col("k1"))))
+    gone = keyed.join(some, ["k1", "k2"]).filter(F.col("late") | (F.col("first") < F.struct("doc", "ln")))
     return checkpointed(gone.groupBy("doc").agg(F.sort_array(F.collect_set("ln")).alias("lns")))
 
 
