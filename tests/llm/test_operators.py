@@ -298,7 +298,7 @@ def test_lines_of_unequal_size(spark, monkeypatch):
     want = {i: any(10 * len(w & v) >= 8 * len(w | v) for v in sets[:i]) for i, w in enumerate(sets)}
     assert 20 < sum(want.values()) < 140
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for sizes in ({}, {"LONG": 1, "BUCKETS": 16, "ONE": 4, "TWO": 9}):
+    for sizes in ({}, {"PER_TASK": 1, "BUCKETS": 16, "ONE": 4, "TWO": 9}):
         with monkeypatch.context() as m:
             for name, value in sizes.items():
                 m.setattr(line_dedup, name, value)

@@ -10,9 +10,9 @@ similarity of at least 0.8; lines are judged on the input, not on what is left.
    the same result, a rarer-first order just gives short lists.
 3. Two similar lines share a word of their prefixes in this order. A posting is a prefix word with the
    line's size, the word's position in it and bit signatures of the line.
-4. First round: in the lists of the words with a line's least and greatest hash, which similar lines mostly
-   share, and in long lists of prefix words, a line is held against the list's first line and the one before
-   it, so that a group of any size costs two pairs a posting. One earlier match settles a line.
+4. First round: in the lists of the words in the first ninth of each line, a line is held against the list's
+   first line and the one before it, so that a group of any size costs two pairs a posting. One earlier match
+   settles a line.
 5. Second round: the lists of all prefix words are joined for lines that are not settled, under the positional
    filter (their first shared word leaves room for the overlap only if it stands early enough in both, which
    includes the length filter) and the signatures. No pair that could match is left out, so no match is lost.
@@ -23,8 +23,6 @@ All steps are DataFrame expressions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,9 +35,6 @@ STEPS = 4
 #: A list that may have more postings than this, and than four times the mean, is dealt to several tasks
 #: in the first round.
 PER_TASK = 1 << 14
-#: A list of a prefix word that may have more postings than this, and than four times the mean, takes part in
-#: the first round.
-LONG = 1 << 10
 #: Lines of up to so many words have a signature of one number, or of two; others of four.
 ONE, TWO = 64, 200
 _LAST = (1 << 63) - 1
@@ -105,18 +100,17 @@ def _first_lines(lines: DataFrame, whole: DataFrame, firsts: DataFrame) -> DataF
 
 
 def _classes(lines: DataFrame, ranks: list[int]) -> DataFrame:
-    """(doc, ln, n, s0 .. s3, ends, prefix) of each line; ``ends`` are the words with its least and greatest hash."""
+    """(doc, ln, n, s0 .. s3, prefix) of each line."""
     # A literal: as a subquery the table would be copied into every row.
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
     none = F.lit(0).cast("long")
     code = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), none), 50).bitwiseOR(F.shiftrightunsigned(h, 14))
     coded = lines.select("doc", "ln", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    ends = F.array(code(F.array_min("h")), code(F.array_max("h"))).alias("ends")
-    coded = coded.select("doc", "ln", ends, F.sort_array(F.transform("h", code)).alias("v"))
+    coded = coded.select("doc", "ln", F.sort_array(F.transform("h", code)).alias("v"))
     n = F.size("v")
     # Bits of the words that have all bits of ``of``; without them, of all words.
     signed = lambda *of: F.aggregate("v", none, lambda a, x: a.bitwiseXOR(_bit_if(x, of)))
-    coded = coded.select("doc", "ln", "ends", n.alias("n"), signed().alias("x"), F.when(n > ONE, signed(13)).alias("x1"), F.when(n > TWO, signed(12)).alias("x2"), F.when(n > TWO, signed(12, 13)).alias("x3"), "v")
+    coded = coded.select("doc", "ln", n.alias("n"), signed().alias("x"), F.when(n > ONE, signed(13)).alias("x1"), F.when(n > TWO, signed(12)).alias("x2"), F.when(n > TWO, signed(12, 13)).alias("x3"), "v")
     # Parts that do not overlap, from those that do.
     x, x1, x2, x3 = (F.col(k) for k in ("x", "x1", "x2", "x3"))
     return coded.select(
@@ -127,7 +121,6 @@ def _classes(lines: DataFrame, ranks: list[int]) -> DataFrame:
         F.when(n <= TWO, none).otherwise(x2.bitwiseXOR(x3)).alias("s1"),
         F.when(n <= ONE, none).when(n <= TWO, x1).otherwise(x1.bitwiseXOR(x3)).alias("s2"),
         F.when(n <= TWO, none).otherwise(x3).alias("s3"),
-        "ends",
         F.slice("v", 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"),
     )
 
@@ -182,23 +175,23 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return checkpointed(pairs.select(F.col("a.doc").alias("doc"), ln("a").alias("ln"), F.col("b.doc").alias("doc2"), ln("b").alias("ln2")).distinct())
 
 
+def _in_ninth(pos: Column) -> Column:
+    return 9 * pos <= F.col("at").bitwiseAND((1 << 32) - 1)
+
+
 def _first_pairs(classes: DataFrame, ranks: list[int]) -> DataFrame:
     """Each line of a list with the list's first line and with the one before it, where they may match."""
     counts = [2 ** ((r + 1) / STEPS) for r in ranks]
-    mean = sum(counts) / BUCKETS
-    most = max(PER_TASK, 4 * mean)
+    most = max(PER_TASK, 4 * sum(counts) / BUCKETS)
     # The bucket's count bounds the list.
     part = F.pmod(F.xxhash64("doc", "at"), F.ceil(F.pow(F.lit(2.0), (F.shiftright("t", 50) + 1) / STEPS) / most))
-    often = F.lit(int(STEPS * math.log2(max(LONG, 4 * mean))) << 50).cast("long")
-    # A prefix is in order: its long lists come last.
-    rows = _postings(classes.filter(F.element_at("prefix", -1) >= often)).filter(F.col("t") >= often)
-    rows = rows.unionByName(classes.select(F.lit(0).alias("pos"), F.explode("ends").alias("t"), "doc", _at(), *_SIGNATURE))
-    rows = rows.withColumn("part", part).repartition("t", "part").select("t", "part", F.struct(*_ENTRY).alias("a"))
+    rows = _postings(classes).filter(_in_ninth(F.col("pos"))).withColumn("part", part)
+    rows = rows.repartition("t", "part").select("t", "part", F.struct(*_ENTRY).alias("a"))
     own = W.partitionBy("t", "part").orderBy("a.doc", "a.at")
     rows = rows.select("a", F.first("a").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head"), F.lag("a").over(own).alias("last"))
     rows = rows.filter("last is not null").select("a", F.explode(F.array_distinct(F.array("head", "last"))).alias("b"))
-    earlier = F.struct("b.doc", "b.at") < F.struct("a.doc", "a.at")  # a word may be listed twice for a line
-    return _ids(rows.filter(_early("a", F.lit(0), "b", F.lit(0)) & earlier & _near("a", "b")))
+    earlier = F.struct("b.doc", "b.at") < F.struct("a.doc", "a.at")  # rows that repeat an id may hold a line twice
+    return _ids(rows.filter(_early("a", F.col("a.pos"), "b", F.col("b.pos")) & earlier & _near("a", "b")))
 
 
 def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
@@ -210,13 +203,21 @@ def _other_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
     # Of two similar lines, the first word that they share stands in the first ninth of the one that is no
     # longer. Lists are joined with these words only; one of very many lines is split where the join is skewed.
     place = lambda x: F.col(x).bitwiseAND(_SETTLED - 1)
-    short = rows.filter(9 * place("pos") <= F.col("at").bitwiseAND((1 << 32) - 1))
     n, m = _size("a"), _size("b")
     before = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.at") < F.col("a.at")))
     asks = F.when(before, F.col("a.pos")).otherwise(F.col("b.pos")) < _SETTLED
     match = (F.col("a.t") == F.col("b.t")) & (m <= n) & _early("a", place("a.pos"), "b", place("b.pos")) & ((m < n) | before) & asks & _near("a", "b")
-    pairs = rows.alias("a").join(short.alias("b"), match).select(F.when(before, F.struct("a.doc", "a.at")).otherwise(F.struct("b.doc", "b.at")).alias("a"), F.when(before, F.struct("b.doc", "b.at")).otherwise(F.struct("a.doc", "a.at")).alias("b"))
-    return _ids(pairs)
+    sides = (
+        F.when(before, F.struct("a.doc", "a.at")).otherwise(F.struct("b.doc", "b.at")).alias("a"),
+        F.when(before, F.struct("b.doc", "b.at")).otherwise(F.struct("a.doc", "a.at")).alias("b"),
+    )
+    # In halves, by the words' hashes: the files of one half go before the other is shuffled.
+    halves = []
+    for half in (0, 1):
+        long = rows.filter(F.col("t").bitwiseAND(1) == half)
+        short = long.filter(_in_ninth(place("pos")))
+        halves.append(_ids(long.alias("a").join(short.alias("b"), match).select(*sides)))
+    return checkpointed(halves[0].unionByName(halves[1]).distinct())
 
 
 def _matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
