@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,6 +74,23 @@ def test_batches_equal_single_pairs(pairs):
         assert list(batched(a, b)) == pytest.approx([single(x, y) for x, y in pairs])
 
 
+@settings(deadline=None)
+@given(st.lists(st.text(alphabet="abcd é1", max_size=90), min_size=1, max_size=9), st.booleans())
+def test_pairs_combed_together_equal_single_pairs(strings, windows):
+    x, y = (k.ravel() for k in np.indices((len(strings), len(strings))))
+    common, best = subsequence.combed_pairs(strings, x, y, windows)
+    assert list(common) == [S.lcs_length(strings[i], strings[j]) for i, j in zip(x, y, strict=True)]
+    if windows:
+        assert list(best) == pytest.approx([S.partial_ratio(strings[i], strings[j]) for i, j in zip(x, y, strict=True)])
+
+
+def test_long_strings_are_combed():
+    strings = ["ab" * 200, "ba" * 150 + "c", "", "abc"]
+    common, best = subsequence.combed_pairs(strings, np.array([0, 1, 2, 3]), np.array([1, 3, 0, 0]))
+    assert list(common) == [S.lcs_length(strings[i], strings[j]) for i, j in ((0, 1), (1, 3), (2, 0), (3, 0))]
+    assert list(best) == pytest.approx([S.partial_ratio(strings[i], strings[j]) for i, j in ((0, 1), (1, 3), (2, 0), (3, 0))])
+
+
 def test_column_features(spark):
     df = spark.createDataFrame([("560001", "560001"), ("1", "2"), ("", "2"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(S.pincode_match(F.col("a"), F.col("b"))).collect()] == [1, 0, -1, -1]
